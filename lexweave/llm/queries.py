@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language, packing, sharding, word_bpe
 
 QUERIES = {
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
+    "op7_subword_language_id": language.op7_subword_language_id,
+    "op8_online_packing": packing.op8_online_packing,
+    "op10_transducer_bpe": word_bpe.op10_transducer_bpe,
     "op6_content_sort": exact_dedup.op6_content_sort,
 }
 ORACLE_SQL = {**exact_dedup.ORACLE}
