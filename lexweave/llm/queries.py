@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, sharding, word_bpe
+from . import exact_dedup, language, packing, sharding, simhash, word_bpe
 
 QUERIES = {
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op7_subword_language_id": language.op7_subword_language_id,
     "op8_online_packing": packing.op8_online_packing,
     "op10_transducer_bpe": word_bpe.op10_transducer_bpe,
+    "op5_multi_index_simhash": simhash.op5_multi_index_simhash,
     "op6_content_sort": exact_dedup.op6_content_sort,
 }
 ORACLE_SQL = {**exact_dedup.ORACLE}
