@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, slices
 
@@ -171,7 +172,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     names = ("lang_pred", "lang_score", "lang_rejected")
     bounded_batches(docs.sparkSession)
     docs = docs.drop(*names)
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, sharding, simhash, word_bpe
+from . import exact_dedup, language, packing, pii, sharding, simhash, word_bpe
 
 QUERIES = {
+    "op1_crf_pii": pii.op1_crf_pii,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op7_subword_language_id": language.op7_subword_language_id,
     "op8_online_packing": packing.op8_online_packing,
