@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, pii, sharding, simhash, word_bpe
+from . import exact_dedup, language, media, packing, pii, sharding, simhash, word_bpe
 
 QUERIES = {
     "op1_crf_pii": pii.op1_crf_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_subword_language_id": language.op7_subword_language_id,
     "op8_online_packing": packing.op8_online_packing,
     "op10_transducer_bpe": word_bpe.op10_transducer_bpe,
+    "op4_tar_media": media.op4_tar_media,
     "op5_multi_index_simhash": simhash.op5_multi_index_simhash,
     "op6_content_sort": exact_dedup.op6_content_sort,
 }
