@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, packing, pii, sharding, simhash, word_bpe
+from . import exact_dedup, language, media, packing, pii, sharding, simhash, substring_dedup, word_bpe
 
 QUERIES = {
     "op1_crf_pii": pii.op1_crf_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_transducer_bpe": word_bpe.op10_transducer_bpe,
     "op4_tar_media": media.op4_tar_media,
     "op5_multi_index_simhash": simhash.op5_multi_index_simhash,
+    "op9_recompression": substring_dedup.op9_recompression,
     "op6_content_sort": exact_dedup.op6_content_sort,
 }
 ORACLE_SQL = {**exact_dedup.ORACLE}
