@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, packing, pii, sharding, simhash, substring_dedup, word_bpe
+from . import exact_dedup, language, media, packing, pii, sharding, simhash, substring_dedup, word_bpe, wrapper
 
 QUERIES = {
     "op1_crf_pii": pii.op1_crf_pii,
+    "op2_wrapper_induction": wrapper.op2_wrapper_induction,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op7_subword_language_id": language.op7_subword_language_id,
     "op8_online_packing": packing.op8_online_packing,
