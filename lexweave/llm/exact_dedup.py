@@ -13,7 +13,7 @@ from .splitters import plan_ranges, range_of
 LEAD = 32
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", normalise=lambda text: text) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", normalise=lambda text: text, carry: list[str] | None = None) -> DataFrame:
     """Groups of rows whose normalised texts are equal byte by byte.
 
     Rows are ordered by (first LEAD characters, SHA-256, id) of the normalised text. Sampled splitters cut this order into
@@ -22,34 +22,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     splitters.MOST_RANGES bounds the number.
 
     ``keep``: ``largest`` or ``smallest`` id stays. Null text counts as empty. A null id stays only in a group without
-    others. Of rows repeated with one id, one stays. Returns id, keep_id, group_size, kept, text_sha256.
+    others. Of rows repeated with one id, one stays. An empty table gives no row. Returns id, keep_id, group_size, kept,
+    text_sha256, and with ``carry`` a struct ``row`` of these columns of the row.
     """
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumns({"lead": F.substring("t", 1, LEAD), "sha": F.sha2(F.col("t").cast("binary"), 256)})
+    row = [F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row")] if carry else []
+    also = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), *row).withColumns({"lead": F.substring("t", 1, LEAD), "sha": F.sha2(F.col("t").cast("binary"), 256)})
     key = ["lead", "sha", "id"]
     keyed = rows.select(*key, (F.octet_length("t") + 1000).cast("double").alias("cost"))
     splitters = plan_ranges(keyed, key, "cost")
     ranged = rows.withColumn("rng", range_of(key, rows.schema, splitters))
     order = Window.partitionBy("rng").orderBy(*key)
     runs = ranged.select(
-        "rng", "id", "sha", "t", "lead",
+        "rng", "id", "sha", "t", "lead", *also,
         F.when(F.lag("t").over(order) == F.col("t"), 0).otherwise(1).alias("new"),
         F.lead(F.lit(1)).over(order).isNull().alias("last"),
     )
     runs = runs.select("*", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     first = F.col("run") == 1
     runs = runs.select(
-        "rng", "run", "id", "sha", "last",
+        "rng", "run", "id", "sha", "last", *also,
         F.when(F.col("last") | (first & (F.col("new") == 1)), F.col("t")).alias("edge_text"),
     )
     of_run = Window.partitionBy("rng", "run")
     best: Column = F.max("id") if keep == "largest" else F.min("id")
     by_id = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     slim = materialise(
-        runs.select("rng", "run", "id", "sha", "edge_text", F.count(F.lit(1)).over(of_run).alias("n"), best.over(of_run).alias("best"), F.row_number().over(of_run.orderBy(by_id)).alias("place")),
+        runs.select("rng", "run", "id", "sha", "edge_text", *also, F.count(F.lit(1)).over(of_run).alias("n"), best.over(of_run).alias("best"), F.row_number().over(of_run.orderBy(by_id)).alias("place")),
         "exact-runs",
     )
     pick = F.max if keep == "largest" else F.min
+    # of runs' parts at ranges' edges, bounded by the number of ranges
     edges = slim.filter(F.col("edge_text").isNotNull()).groupBy("rng", "run").agg(F.first("edge_text").alias("t"), F.first("n").alias("n"), F.first("best").alias("best"))
     joined = edges.groupBy("t").agg(F.sum("n").alias("whole_n"), pick("best").alias("whole_best"), F.collect_list(F.struct("rng", "run")).alias("parts"))
     joined = joined.select(F.explode("parts").alias("p"), "whole_n", "whole_best").select("p.rng", "p.run", "whole_n", "whole_best")
@@ -57,7 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id = F.coalesce("whole_best", "best")
     return out.select(
         F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("whole_n", "n").cast("long").alias("group_size"),
-        (F.col("id").eqNullSafe(keep_id) & (F.col("place") == 1)).alias("kept"), F.col("sha").alias("text_sha256"),
+        (F.col("id").eqNullSafe(keep_id) & (F.col("place") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), *also,
     )
 
 
