@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from . import joins, spend, telemetry  # noqa: F401
+from . import filters, joins, spend, telemetry, text  # noqa: F401

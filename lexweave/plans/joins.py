@@ -85,8 +85,8 @@ def attach_words(q: Dialect) -> str:
     """Each word goes to the last segment that began at its midpoint or before, and to the first segment if none had."""
     return f"""WITH seg AS (SELECT user_id, event_id AS seg_id, CAST(event_id AS DOUBLE) AS start FROM {q.t("events")} WHERE event_type = 'view'), word AS (SELECT user_id, event_id AS word_id, event_id + value / 200 AS mid FROM {q.t("events")} WHERE event_type = 'click'),
         firsts AS (SELECT user_id, min(seg_id) AS first_seg FROM seg GROUP BY user_id),
-        line AS (SELECT user_id, start AS at, 0 AS is_word, seg_id, CAST(NULL AS BIGINT) AS word_id FROM seg UNION ALL SELECT user_id, mid + 0.000001, 1, NULL, word_id FROM word),
-        carried AS (SELECT user_id, word_id, {q.known('last', 'seg_id')} OVER (PARTITION BY user_id ORDER BY at, is_word, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg_id FROM line)
+        line AS (SELECT user_id, start AS placed, 0 AS is_word, seg_id, CAST(NULL AS BIGINT) AS word_id FROM seg UNION ALL SELECT user_id, mid + 0.000001, 1, NULL, word_id FROM word),
+        carried AS (SELECT user_id, word_id, {q.known('last', 'seg_id')} OVER (PARTITION BY user_id ORDER BY placed, is_word, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg_id FROM line)
         SELECT c.user_id, c.word_id, coalesce(c.seg_id, f.first_seg) AS seg_id FROM carried c LEFT JOIN firsts f ON f.user_id = c.user_id WHERE c.word_id IS NOT NULL"""
 
 
