@@ -77,8 +77,8 @@ def chunks(q: Dialect) -> str:
 @sql("wn_14")
 def overlap_stitch(q: Dialect) -> str:
     """Of two overlapping chunks, words before the cut are the earlier one's, the others the later one's."""
-    return f"""WITH w AS (SELECT user_id, event_id, event_id % 100 AS pos, {q.div("event_id", 100)} AS chunk FROM {q.t("events")}), both AS (SELECT user_id, event_id, chunk, pos FROM w UNION ALL SELECT user_id, event_id, chunk - 1, pos + 100 FROM w WHERE pos < 10)
-        SELECT user_id, event_id, chunk, pos FROM both WHERE pos >= 5 AND pos < 105 OR chunk = 0 AND pos < 105"""
+    return f"""WITH w AS (SELECT user_id, event_id, event_id % 100 AS pos, {q.div("event_id", 100)} AS chunk FROM {q.t("events")}), joined AS (SELECT user_id, event_id, chunk, pos FROM w UNION ALL SELECT user_id, event_id, chunk - 1, pos + 100 FROM w WHERE pos < 10)
+        SELECT user_id, event_id, chunk, pos FROM joined WHERE pos >= 5 AND pos < 105 OR chunk = 0 AND pos < 105"""
 
 
 @sql("st_01")
@@ -216,7 +216,7 @@ def identities(q: Dialect) -> str:
 def clip_windows(q: Dialect) -> str:
     """Twelve seconds about a span, thirty at most, three of margin, within the recording."""
     return f"""WITH s AS (SELECT event_id, CAST(event_id % 600 AS DOUBLE) AS a, event_id % 600 + value / 20 AS b FROM {q.t("events")}), l AS (SELECT *, least(30, greatest(12, b - a + 6)) AS n FROM s)
-        SELECT event_id, round(greatest(0, (a + b) / 2 - n / 2), 3) AS clip_start, round(least(600, (a + b) / 2 + n / 2), 3) AS clip_end, CAST(ceil(n * 2.5) AS BIGINT) AS words FROM l"""
+        SELECT event_id, greatest(0, (a + b) / 2 - n / 2) AS clip_start, least(600, (a + b) / 2 + n / 2) AS clip_end, CAST(ceil(n * 2.5) AS BIGINT) AS words FROM l"""
 
 
 @sql("sc_32")
