@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from . import filters, joins, spend, telemetry, text  # noqa: F401
+from . import filters, joins, python_ops, spend, telemetry, text  # noqa: F401
