@@ -35,5 +35,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    """Republished documents: pairs of which the later one has half its 4-grams in the earlier, with the best original of each."""
+    from ..operators.similarity import containment_pairs
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return containment_pairs(docs, n=4, least=0.5)
