@@ -23,7 +23,7 @@ UNIT, PAD, ROW = 576, b"\xff", 576
 #: Bytes of a stored image that hold all of its header; bytes after which a task begins another shard.
 HEADER, SHARD_BYTES = 33, 64 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-LEVEL = 1
+LEVEL = 6
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
