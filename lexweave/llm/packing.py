@@ -15,7 +15,7 @@ from .bpe import ByteLevelEncoder
 from .common import bounded_batches, materialise
 
 #: Tokens of a sequence, windows open at once in a partition, partitions whose leftovers one task merges.
-SEQUENCE, OPEN, FAN_IN = 1024, 64, 64
+SEQUENCE, OPEN, FAN_IN = 1024, 64, 8
 _PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, win long, ids binary"
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
 
