@@ -131,8 +131,8 @@ def parse(words: Words, rounds: int = ROUNDS) -> Symbols:
 
 @dataclass
 class Anchors:
-    """Intervals of windows. All windows that begin from ``first`` to ``last`` hold the symbol ``key``; ``context`` stands for
-    all their words and where the symbol is among them."""
+    """Intervals of windows. All windows that begin from ``first`` to ``last`` have one anchor, at one side of their middle; ``key`` stands
+    for the anchor and the words that all such windows hold, ``context`` for all the words of these and where the anchor is."""
 
     key: np.ndarray
     context: np.ndarray
@@ -140,12 +140,18 @@ class Anchors:
     last: np.ndarray
 
 
+#: Windows of an interval without a symbol, at most.
+ALONE_MOST = 200
+
+
 def anchors(words: Words, window: int, rounds: int = ROUNDS) -> Anchors:
     """Every window of ``window`` words in exactly one interval.
 
     A window's anchor is, of the symbols that were decided on inside the window, the one whose name's hash is least, leftmost first: the
-    window's words alone say which and where. So equal windows have equal keys, in any text. A window without such a symbol
-    is its own interval, and its key the hash of its words.
+    window's words alone say which and where. Windows with the anchor in their first half share half a window of words from it on,
+    those with it in their second half as many up to it; the key has these words too, so that what many texts have in common
+    over a few words only doesn't bring them together. So equal windows have equal keys, in any text. A window without a
+    symbol, as inside a long run, has the hash of its words for a key; equal ones in a row are one interval.
     """
     begins = np.arange(len(words.name))
     begins = begins[begins + window <= words.end] if len(begins) else begins
@@ -163,13 +169,18 @@ def anchors(words: Words, window: int, rounds: int = ROUNDS) -> Anchors:
         at = a[live] + step
         better = (rank[at] < least[live]) | (best[live] < 0)
         best[live[better]], least[live[better]] = at[better], rank[at[better]]
-    cut = np.concatenate(([True], (best[1:] != best[:-1]) | (best[1:] < 0) | (begins[1:] != begins[:-1] + 1)))
+    half = window // 2
+    late = symbols.start[np.maximum(best, 0)] - begins >= half
+    own = np.zeros(len(begins), U)
+    alone = np.flatnonzero(best < 0)
+    own[alone] = words.digest(begins[alone], begins[alone] + window)
+    text = words.text[begins]
+    cut = np.concatenate(([True], (text[1:] != text[:-1]) | (best[1:] != best[:-1]) | (late[1:] != late[:-1]) & (best[1:] >= 0) | (own[1:] != own[:-1]) | (begins[1:] != begins[:-1] + 1) | (best[1:] < 0) & (begins[1:] % ALONE_MOST == 0)))
     i = np.flatnonzero(cut)
-    first, last, symbol = begins[i], begins[np.append(i[1:], len(begins)) - 1], best[i]
-    digest = words.digest(first, last + window)
+    first, last, symbol, late, own = begins[i], begins[np.append(i[1:], len(begins)) - 1], best[i], late[i], own[i]
     alone = symbol < 0
-    at = np.maximum(symbol, 0)
-    place = np.where(alone, 0, symbols.start[at] - first).astype(U)
-    key = np.where(alone, mix(digest ^ U(0xF00D)), symbols.name[at])
-    context = np.where(alone, U(0), mix(digest ^ mix(place + U(0xC0))))
+    start = np.where(alone, first, symbols.start[np.maximum(symbol, 0)])
+    core = words.digest(np.where(alone, first, np.where(late, start - half, start)), np.where(alone, first, np.where(late, start + 1, start + window - half + 1)))
+    key = np.where(alone, mix(own ^ U(0xF00D)), mix(symbols.name[np.maximum(symbol, 0)] + mix(core + late.astype(U))))
+    context = np.where(alone, U(0), mix(words.digest(first, last + window) ^ mix((start - first).astype(U) + U(0xC0))))
     return Anchors(key, context, first, last)
