@@ -461,7 +461,7 @@ def _per_key(name: str, schema: str) -> Callable:
 
 @_per_key("sm_01", "user_id long, event_id long, outcome string, committed string")
 def admission(g: pd.DataFrame) -> pd.DataFrame:
-    """Requests in order against one ledger; caps are those of the reference times 1,000, as these values are."""
+    """Requests in order against one ledger; the caps are times 1,000, as these values are."""
     state, out = ledger.new_state(), []
     for r in g.itertuples():
         got = ledger.reserve(state, [(str(r.event_id), Decimal(r.value), r.k % 7 == 0)], Decimal(0), ledger.CAP * 1000, ledger.THIRD_CAP * 1000)
