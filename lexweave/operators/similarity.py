@@ -11,28 +11,35 @@ def normalised_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['’]", ""), r"(?U)[^\p{L}]+"), lambda w: w != "")
 
 
-def distinct_ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """(id, gram): every distinct n-gram of a document once."""
-    words = docs.select("id", normalised_words(F.col("text")).alias("w"))
-    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return words.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("gram"))
+def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(id, grams): every document's distinct n-grams; documents without one are left out."""
+
+    def grams(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    # The words are bound by a function's argument: a column would be put into the inner function as its whole expression, and the
+    # text be split anew for every gram.
+    bound = F.transform(F.array(normalised_words(F.col("text"))), grams)[0]
+    return docs.select("id", bound.alias("grams")).filter(F.size("grams") > 0)
 
 
 def containment_pairs(docs: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
     """(id, earlier_id, common, grams, containment, is_best): how much of a document stands in one with a smaller id.
 
-    ``docs`` has id and text. Grams that one document alone has are dropped by an aggregate before the join, as they link nothing;
-    the join is on the gram itself, so a hash can't mislead it. Of a document's originals the best is the one with most in
-    common, the smallest id of equal ones.
+    ``docs`` has id and text. A document of ``g`` grams that has ``least`` of them in another one must share one of its
+    g - ceil(least * g) + 1 rarest; only these ask for other documents, so that grams which thousands of documents have hardly ever
+    do. What they find is verified on the whole sets. Of a document's originals the best is the one with most in common,
+    the smallest id of equal ones.
     """
-    grams = distinct_ngrams(docs, n)
-    size = grams.groupBy("id").agg(F.count(F.lit(1)).alias("grams"))
-    shared = grams.groupBy("gram").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("in_docs")).filter("in_docs > 1").select("gram", "first")
-    kept = grams.join(shared, "gram")
-    # the first document with a gram has no earlier one to be contained in
-    later = kept.filter("id > first").select("id", "gram")
-    pairs = later.join(kept.select(F.col("id").alias("earlier_id"), "gram"), "gram").filter("earlier_id < id")
-    common = pairs.groupBy("id", "earlier_id").agg(F.count(F.lit(1)).alias("common"))
-    scored = common.join(size, "id").withColumn("containment", F.col("common") / F.col("grams")).filter(F.col("containment") >= least)
+    sets = ngram_sets(docs, n)
+    each = sets.select("id", F.size("grams").alias("g"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("in_docs"), F.min("id").alias("first"))
+    ranked = each.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("in_docs", "gram")))
+    asked = ranked.filter((F.col("place") <= F.col("g") - F.ceil(F.lit(least) * F.col("g")) + 1) & (F.col("id") > F.col("first"))).select("id", "gram")
+    found = asked.join(each.select(F.col("id").alias("earlier_id"), "gram"), "gram").filter("earlier_id < id").select("id", "earlier_id").distinct()
+    pairs = found.join(sets, "id").join(sets.select(F.col("id").alias("earlier_id"), F.col("grams").alias("earlier")), "earlier_id")
+    scored = pairs.select("id", "earlier_id", F.size(F.array_intersect("grams", "earlier")).cast("long").alias("common"), F.size("grams").cast("long").alias("grams"))
+    scored = scored.withColumn("containment", F.col("common") / F.col("grams")).filter(F.col("common") >= F.lit(least) * F.col("grams"))
     best = Window.partitionBy("id").orderBy(F.desc("common"), "earlier_id")
     return scored.withColumn("is_best", F.row_number().over(best) == 1)

@@ -62,6 +62,10 @@ class Dialect:
     def each(self, a: str, x: str, value: str) -> str:
         return self._(f"transform({a}, {x} -> {value})", f"list_transform({a}, lambda {x}: {value})")
 
+    def bind(self, x: str, name: str, body: str) -> str:
+        """``body`` with ``name`` for the value of ``x``, which is computed once."""
+        return self._(f"element_at(transform(array({x}), {name} -> {body}), 1)", f"list_transform([{x}], lambda {name}: {body})[1]")
+
     def has(self, a: str, x: str) -> str:
         return self._(f"array_contains({a}, {x})", f"list_contains({a}, {x})")
 

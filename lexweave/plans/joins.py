@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .dialect import Dialect, sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.similarity import containment_pairs
+from .dialect import Dialect, Duck, sql
+from .registry import query
 
 
 @sql("jn_04")
@@ -108,21 +113,24 @@ def _grams(q: Dialect, source: str, n: int) -> str:
     return f"words AS (SELECT doc_id, {w} AS ws FROM {source}), grams AS (SELECT doc_id, gram FROM {q.unnest('doc_id', 'words', q._(f'array_distinct({grams})', f'list_distinct({grams})'), 'gram')} g), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id)"
 
 
-@sql("jn_05")
-def containment(q: Dialect) -> str:
-    """Documents that share half their distinct 4-grams with an earlier one, and how many.
-
-    Grams of one document are dropped before the join, as they link nothing; the others meet by equality.
-    """
+def _containment_check() -> str:
+    q = Duck()
     return f"""WITH {_grams(q, f"(SELECT doc_id, text FROM {q.t('documents')} WHERE n_chars > 0)", 4)}, shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1), kept AS (SELECT g.doc_id, g.gram FROM grams g JOIN shared s ON s.gram = g.gram),
         pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS earlier_id, count(*) AS common FROM kept a JOIN kept b ON b.gram = a.gram AND b.doc_id < a.doc_id GROUP BY a.doc_id, b.doc_id)
         SELECT p.doc_id, p.earlier_id, p.common, s.n AS grams, CAST(p.common AS DOUBLE) / s.n AS containment FROM pairs p JOIN sizes s ON s.doc_id = p.doc_id WHERE 2 * p.common >= s.n"""
 
 
+@query("jn_05", _containment_check())
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share half their distinct 4-grams with an earlier one, and how many."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return containment_pairs(docs, 4, 0.5).select(F.col("id").alias("doc_id"), "earlier_id", "common", "grams", "containment")
+
+
 @sql("jn_08")
 def unique_anchors(q: Dialect) -> str:
     """5-grams that stand exactly once in each of two neighbouring readings, with their places."""
-    grams = lambda c: q.each(q.range(1, f"{q.size(c)} - 4"), "i", q.join(q.slice(c, "i", 5)))
+    grams = lambda c: q.bind(c, "v", q.each(q.range(1, f"{q.size('v')} - 4"), "i", q.join(q.slice("v", "i", 5))))
     side = lambda c, name: f"{name} AS (SELECT episode_key, id, gram, min(pos) AS pos FROM {q.unnest('episode_key, id', 'w', grams(c), 'gram')} x GROUP BY episode_key, id, gram HAVING count(*) = 1)"
     return f"""WITH {q.turns()}, w AS (SELECT episode_key, id, {q.words("apple_text")} AS a, {q.words("coalesce(apple_text || ' ' || whisper_text, apple_text)")} AS b FROM turns), {side("a", "l")}, {side("b", "r")}
         SELECT l.episode_key, l.id, l.gram, CAST(l.pos AS BIGINT) AS left_pos, CAST(r.pos AS BIGINT) AS right_pos FROM l JOIN r ON r.episode_key = l.episode_key AND r.id = l.id AND r.gram = l.gram"""

@@ -40,7 +40,7 @@ def context_frames(q: Dialect) -> str:
 
 @sql("wn_03")
 def word_ngrams(q: Dialect) -> str:
-    grams = q.each(q.range(1, f"{q.size('ws')} - 3"), "i", q.join(q.slice("ws", "i", 4)))
+    grams = q.bind("ws", "v", q.each(q.range(1, f"{q.size('v')} - 3"), "i", q.join(q.slice("v", "i", 4))))
     return f"WITH {_docs(q)}, g AS (SELECT doc_id, {grams} AS grams FROM d) SELECT doc_id, {q.size('grams')} AS n, {q.size(q.distinct('grams'))} AS distinct_n, {q.at(q.distinct('grams'), 1)} AS first_gram FROM g"
 
 
