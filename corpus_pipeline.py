@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import materialise
 from lexweave.llm.exact_dedup import exact_groups
 from lexweave.llm.language import fit_language_model, identify
+from lexweave.llm.near_text import near_texts
 from lexweave.llm.packing import pack
 from lexweave.llm.pii import find_pii
-from lexweave.llm.simhash import near_components
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest id."""
-    kept = near_components(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the smallest id."""
+    kept = near_texts(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = _whole(docs)
     return _back(rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi"), docs)
 

@@ -27,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and survives lost executors."""
+def materialise(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage is cut and survives lost executors. A reader holds a column
+    of a row group of ``group_bytes`` at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
