@@ -286,7 +286,7 @@ def opcode_metrics(r) -> Iterable[tuple]:
 
 @rows("tk_07", f"{_KEY}, part long, score_num long, score_den long, distance long, start_at long, length long", spans)
 def nearest_window(r) -> Iterable[tuple]:
-    s, d, i, n = sequences.best_window(tokens.words(r.apple)[:20], tokens.words(r.before + " " + r.whisper)[:200])
+    s, d, i, n = sequences.best_window(tokens.words(r.apple), tokens.words(r.before + " " + r.whisper))
     return [(r.episode_key, r.id, r.part, s.numerator, s.denominator, d, i, n)]
 
 
