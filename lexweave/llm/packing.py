@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .bpe import ByteLevelEncoder
 from .common import bounded_batches, materialise
 
-#: Tokens of a sequence, windows open at once in a partition, partitions whose leftovers one task merges.
-SEQUENCE, OPEN, FAN_IN = 1024, 64, 8
+#: Tokens of a sequence, windows open at once in a partition, partitions whose leftovers one task merges, and from how much room on a
+#: window that is emitted is filled by cutting the piece that fits nowhere.
+SEQUENCE, OPEN, FAN_IN, CUT_LEAST = 1024, 64, 8, 32
 _PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, win long, ids binary"
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
 
@@ -27,33 +28,40 @@ def _encoder(path: str) -> ByteLevelEncoder:
 
 
 class Packer:
-    """A fixed number of open windows. A piece goes where least room is left after it; if it fits nowhere and all windows are
-    in use, the fullest is emitted."""
+    """A fixed number of open windows. A piece (document, start, ids, total) goes where least room is left after it; if it fits nowhere
+    and all windows are in use, the fullest is emitted. If that has room for ``cut_least`` tokens or more, the piece is cut to fill it,
+    so no emitted window lacks as many."""
 
-    def __init__(self, size: int, most: int):
-        self.size, self.most = size, most
+    def __init__(self, size: int, most: int, cut_least: int = CUT_LEAST):
+        self.size, self.most, self.cut_least = size, most, cut_least
         self.room: list[tuple[int, int]] = []  # (free, window), sorted
         self.pieces: dict[int, list] = {}
         self.opened = 0
 
-    def add(self, piece, length: int) -> list | None:
-        """Place a piece; returns a window's pieces if one is emitted."""
-        out = None
+    def add(self, piece: tuple) -> list[list]:
+        """Place a piece of less than a sequence; returns the windows that are emitted, two at most."""
+        out = []
+        doc, start, ids, total = piece
+        if len(self.room) == self.most and self.room[-1][0] * 4 < len(ids):
+            free, win = self.room.pop(0)
+            if free >= self.cut_least:
+                self.pieces[win].append((doc, start, ids[: 4 * free], total))
+                start, ids = start + free, ids[4 * free :]
+            out.append(self.pieces.pop(win))
+        length = len(ids) // 4
         at = bisect_left(self.room, (length, -1))
         if at < len(self.room):
             free, win = self.room.pop(at)
         else:
-            if len(self.room) == self.most:
-                out = self.pieces.pop(self.room.pop(0)[1])
             free, win = self.size, self.opened
             self.opened += 1
             self.pieces[win] = []
-        self.pieces[win].append(piece)
+        self.pieces[win].append((doc, start, ids, total))
         if free > length:
             insort(self.room, (free - length, win))
-            return out
-        # a full window leaves at once; it never does so in the step that opened it for a piece of less than a sequence
-        return self.pieces.pop(win)
+        else:
+            out.append(self.pieces.pop(win))
+        return out
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: int = SEQUENCE, open_windows: int = OPEN, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
@@ -61,8 +69,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: int = SEQUE
 
     Every partition of the input packs its documents online: whole sequences are cut off a document, and its rest goes to
     the open window it fits best. The windows still open at a partition's end are leftovers; groups of ``fan_in``
-    partitions concatenate theirs, cut at ``sequence``, and pass on what is left, until one group is left. So only the last
-    sequence of all, and windows emitted when nothing fitted, are padded. Memory: ``open_windows`` sequences in a
+    partitions concatenate theirs, cut at ``sequence``, and pass on what is left, until one group is left. So the last
+    sequence of all is padded, and windows emitted when nothing fitted are, by less than CUT_LEAST tokens. Memory: ``open_windows`` sequences in a
     partition, ``fan_in`` times that in a merge, whatever the input.
 
     Null or empty text: the piece [end_id]. Null ids are carried on. Repeated rows are packed each. An empty table gives no
@@ -102,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: int = SEQUE
                 for start in range(0, whole, sequence):
                     rows += rows_of([(doc, start, ids[4 * start : 4 * (start + sequence)], total)], (part << 28) + emitted, part, 0, False)
                     emitted += 1
-                if total > whole and (window := packer.add((doc, whole, ids[4 * whole :], total), total - whole)):
+                for window in packer.add((doc, whole, ids[4 * whole :], total)) if total > whole else ():
                     rows += rows_of(window, (part << 28) + emitted, part, 0, False)
                     emitted += 1
             yield batch_of(rows, arrow)
