@@ -9,11 +9,18 @@ CAP, THIRD_CAP = Decimal("1.60"), Decimal("0.10")
 
 
 def new_state() -> dict:
-    return {"attempts": {}, "locked": False}
+    """No attempts; ``total`` and ``third`` are what the attempts that aren't released commit."""
+    return {"attempts": {}, "locked": False, "total": Decimal(0), "third": Decimal(0)}
 
 
 def committed(state: dict, third_only: bool = False) -> Decimal:
-    return sum((a["usd"] for a in state["attempts"].values() if a["state"] != "released" and (a["third"] or not third_only)), Decimal(0))
+    return state["third" if third_only else "total"]
+
+
+def _book(state: dict, attempt: dict, usd: Decimal) -> None:
+    state["total"] += usd
+    if attempt["third"]:
+        state["third"] += usd
 
 
 def reserve(state: dict, batch: list[tuple[str, Decimal, bool]], downstream: Decimal = Decimal(0), cap: Decimal = CAP, third_cap: Decimal = THIRD_CAP) -> str:
@@ -32,6 +39,7 @@ def reserve(state: dict, batch: list[tuple[str, Decimal, bool]], downstream: Dec
         return "refused"
     for i, usd, t in batch:
         state["attempts"][i] = {"state": "reserved", "usd": usd, "reserved": usd, "third": t}
+        _book(state, state["attempts"][i], usd)
     return "admitted"
 
 
@@ -43,6 +51,7 @@ def finish(state: dict, attempt: str, how: str, usd: Decimal | None = None) -> s
     if how == "settled":
         if usd is None or usd < 0:
             return "refused"
+        _book(state, a, usd - a["usd"])
         a["state"], a["usd"] = "settled", usd
         if usd > a["reserved"]:
             state["locked"] = True
@@ -50,6 +59,8 @@ def finish(state: dict, attempt: str, how: str, usd: Decimal | None = None) -> s
         return "settled"
     if how not in ("uncertain", "released"):
         return "refused"
+    if how == "released":
+        _book(state, a, -a["usd"])
     a["state"] = how
     return how
 

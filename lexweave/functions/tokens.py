@@ -11,9 +11,11 @@ TOKEN = re.compile(r"\d+(?:[.,:/]\d+)+(?:[^\W\d_]+)?|\d+|%|[^\W\d_]+(?:['’][^\
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000, "trillion": 1_000_000_000_000}
-UNITS = {
-    "kg": "kg kgs kilogram kilograms", "lb": "lb lbs pound pounds", "g": "g gram grams", "mg": "mg milligram milligrams", "mcg": "mcg μg ug microgram micrograms", "kcal": "kcal kcals calorie calories",
-    "cal": "cal", "ml": "ml milliliter milliliters", "l": "liter liters litre litres", "%": "percent percentage %",
+UNIT_OF = {
+    "kg": "kg", "kgs": "kg", "kilogram": "kg", "kilograms": "kg", "lb": "lb", "lbs": "lb", "pound": "lb", "pounds": "lb", "g": "g", "gram": "g", "grams": "g",
+    "mg": "mg", "milligram": "mg", "milligrams": "mg", "mcg": "mcg", "μg": "mcg", "ug": "mcg", "microgram": "mcg", "micrograms": "mcg",
+    "kcal": "kcal", "kcals": "kcal", "calorie": "kcal", "calories": "kcal", "cal": "cal", "ml": "ml", "milliliter": "ml", "milliliters": "ml",
+    "liter": "l", "liters": "l", "litre": "l", "litres": "l", "percent": "%", "percentage": "%", "%": "%",
 }
 NEGATIONS = frozenset("no not never none neither nor cannot can't couldn't didn't doesn't don't hadn't hasn't haven't isn't shouldn't wasn't weren't won't wouldn't".split())
 FILLERS = frozenset("um uh uhm umm erm er ah oh hmm mm mhm yeah yep yes okay ok so well right like just actually basically literally really and but or then anyway kinda sorta".split())
@@ -24,8 +26,7 @@ FUNCTION_WORDS = frozenset(
 )
 COLLOQUIAL = {"gonna": "going to", "wanna": "want to", "gotta": "got to", "cause": "because", "cuz": "because", "kinda": "kind of", "sorta": "sort of"}
 
-WORD_VALUE = {w: i for i, w in enumerate(SMALL)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
-UNIT_OF = {form: unit for unit, forms in UNITS.items() for form in forms.split()}
+WORD_VALUE = dict(zip(SMALL, range(20), strict=True)) | dict(zip(TENS, range(20, 100, 10), strict=True))
 
 
 class Token(NamedTuple):
@@ -43,6 +44,8 @@ def tokenize(text: str | None) -> list[Token]:
     out = []
     for m in TOKEN.finditer(text or ""):
         word = fold(m[0])
+        if re.fullmatch(r"\d+(?:,\d+)+", word):  # commas part thousands, else one stands for a point
+            word = word.replace(",", "") if re.fullmatch(r"\d{1,3}(?:,\d{3})+", word) else word.replace(",", ".") if word.count(",") == 1 else word
         out.append(Token(str(WORD_VALUE[word]) if word in WORD_VALUE else word, m[0], m.start(), m.end()))
     return out
 
@@ -73,11 +76,6 @@ def negations(tokens: list[str]) -> set[str]:
     return {t for t, n in zip(tokens, after, strict=False) if t in NEGATIONS and not (t == "no" and n in ("cebo", "sebo"))}
 
 
-def measurement_units(tokens: list[str]) -> set[str]:
-    """Units with a number within two words before them."""
-    return {UNIT_OF[t] for i, t in enumerate(tokens) if t in UNIT_OF and any(p[:1].isdigit() for p in tokens[max(0, i - 2) : i])}
-
-
 def repeat_run(tokens: list[str], least: int = 3, most: int = 8) -> bool:
     """Whether a phrase of two to ``most`` words stands ``least`` times in a row: over a run of equal pairs at that distance."""
     for size in range(2, min(most, len(tokens) // least) + 1):
@@ -94,95 +92,6 @@ def adjacent_duplicate(tokens: list[str], start: int, end: int) -> bool:
     return size > 0 and span in (tokens[max(0, start - size) : start], tokens[end : end + size])
 
 
-def numbers(tokens: list[str]) -> list[str]:
-    """The numbers that words say, in order: digits, spoken ones with scales, and 'point' before a fraction."""
-    out: list[str] = []
-    total = part = None
-
-    def put() -> None:
-        nonlocal total, part
-        if total is not None or part is not None:
-            out.append(str((total or 0) + (part or 0)))
-        total = part = None
-
-    low = False  # whether the part may take a unit after tens
-    i = 0
-    while i < len(tokens):
-        t = tokens[i]
-        if t == "point" and out_or_part(part, total) and i + 1 < len(tokens) and tokens[i + 1].isdigit():
-            whole = (total or 0) + (part or 0)
-            total = part = None
-            digits = ""
-            while i + 1 < len(tokens) and tokens[i + 1].isdigit() and (len(tokens[i + 1]) == 1 or not digits):
-                digits, i = digits + tokens[i + 1], i + 1
-            out.append(f"{whole}.{digits}")
-        elif t.isdigit():
-            n = int(t)
-            if part is not None and low and n < 10:
-                part, low = part + n, False
-            elif part is not None and part % 100 == 0 and part and n < 100:
-                part, low = part + n, n >= 20 and n % 10 == 0
-            elif part is None and total is not None and n < 1000:
-                part, low = n, n >= 20 and n % 10 == 0
-            else:
-                put()
-                part, low = n, 20 <= n < 100 and n % 10 == 0
-        elif t in SCALES and (part is not None or total is not None):
-            if SCALES[t] == 100:
-                part, low = (part or 1) * 100, False
-            else:
-                total, part, low = (total or 0) + (part or 1) * SCALES[t], None, False
-        else:
-            put()
-            if re.fullmatch(r"\d+(?:[.,:/]\d+)+\w*", t):
-                out.append(re.sub(r",(?=\d{3}(?!\d))", "", t))
-        i += 1
-    put()
-    return out
-
-
-def out_or_part(part: int | None, total: int | None) -> bool:
-    return part is not None or total is not None
-
-
-def number_form(text: str | None) -> list[str]:
-    """Words and numbers in one form, for telling whether two readings only write their numbers differently."""
-    t = fold(text)
-    for pattern, by in ((r"\b([ap])\.\s?m\b\.?", r"\1m"), (r"(\d),(?=\d{3}\b)", r"\1"), (r"(?<![\w.])\.(?=\d)", "0."), (r"(\d)(?:st|nd|rd|th)\b", r"\1 ord"), (r"(\d)([a-z%])", r"\1 \2")):
-        t = re.sub(pattern, by, t)
-    out: list[str] = []
-    pending: list[str] = []
-
-    def put() -> None:
-        out.extend(numbers(pending))
-        pending.clear()
-
-    for w in without_fillers([str(WORD_VALUE.get(w, w)) for w in re.findall(r"[a-z]+(?:'[a-z]+)*|\d+(?:[.:]\d+)*|%", t)]):
-        if w[0].isdigit() or w in SCALES or w == "point" and pending:
-            pending.append(w)
-        else:
-            put()
-            out.append(UNIT_OF.get(w, w))
-    put()
-    return out
-
-
-def number_values(text: str | None) -> list[str]:
-    return [w for w in number_form(text) if w[0].isdigit()]
-
-
-def same_numbers(a: str | None, b: str | None) -> bool:
-    left = number_form(a)
-    return left == number_form(b) and any(w[0].isdigit() for w in left)
-
-
-def numeric_or_unit_equivalent(a: list[str], b: list[str]) -> bool:
-    """The same ordered numbers and units, with the same words else."""
-    rest = lambda ws: [w for w in ws if not w[:1].isdigit() and w not in SCALES and w not in UNIT_OF and w != "point"]
-    units = lambda ws: [UNIT_OF[w] for w in ws if w in UNIT_OF]
-    return bool(numbers(a)) and numbers(a) == numbers(b) and units(a) == units(b) and rest(a) == rest(b)
-
-
-def term_windows(tokens: list[str], term: list[str]) -> list[tuple[int, int]]:
-    """Places of as many words as the term has, one less or one more."""
-    return [(i, i + n) for n in range(max(1, len(term) - 1), len(term) + 2) for i in range(len(tokens) - n + 1)]
+def term_windows(tokens: list[str], size: int) -> list[tuple[int, int]]:
+    """Places of ``size`` words, one less or one more."""
+    return [(i, i + n) for n in range(max(1, size - 1), size + 2) for i in range(len(tokens) - n + 1)]

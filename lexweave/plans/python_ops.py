@@ -1,19 +1,21 @@
-"""Queries whose logic SQL can't express: Python over Arrow batches, a row at a time inside a batch, no shuffle of its own."""
+"""Queries whose logic SQL can't express: Python over Arrow batches, no shuffle of its own but for folds over a key."""
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
-from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import ledger, notes, rules, sequences, tokens
+from ..functions import differences as diffs
+from ..functions import ledger, materiality, notes, numbers, rules, sequences, tokens
+from ..functions.terms import REGISTRY_MOST, Terms
 from .registry import query
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -31,34 +33,55 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("episode_key", "id").orderBy("part")
     drop = F.regexp_replace("apple", r"(?<= )(?:the|of|and|a) ", "")
     other = F.when(F.col("part") % 3 == 0, drop).when(F.col("part") % 3 == 1, F.lead("apple").over(w)).otherwise(F.lower("apple"))
-    return t.select("episode_key", "id", "part", "apple", F.coalesce(other, F.lit("")).alias("whisper"), F.when(F.col("part") % 2 == 0, drop).alias("third"), F.coalesce(F.lag("apple").over(w), F.lit("")).alias("before"))
+    return t.select("episode_key", "id", "part", "apple", F.coalesce(other, F.lit("")).alias("whisper"), F.when(F.col("part") % 2 == 0, drop).alias("third"), F.coalesce(F.lag("apple").over(w), F.lit("")).alias("before"), F.coalesce(F.lead("apple", 2).over(w), F.lit("")).alias("after"))
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as one text, and the same with some words changed."""
+    t = turns(spark, sf_dir).groupBy("episode_key").agg(F.sort_array(F.collect_list(F.struct("id", "apple", "whisper"))).alias("t"))
+    text = lambda c: F.array_join(F.transform("t", lambda x: x[c]), " ")
+    return t.select("episode_key", F.lit(0).cast("long").alias("id"), text("apple").alias("apple"), text("whisper").alias("whisper"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def benchmark_terms(spark: SparkSession, sf_dir: str, most: int = 60) -> list[str]:
-    """The registry's terms: the most frequent longer words of the benchmark's texts, of a bounded number."""
+def labels_on_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with a quantity, one for each part."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    unit = F.element_at(F.array(*map(F.lit, ("kg", "pounds", "grams", "percent", "minutes", "ml", "calories"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    text = F.concat(F.lit("Take "), F.col("p_size").cast("string"), F.lit(" "), unit, F.lit(" of "), F.col("p_name"), F.lit(" as said in "), (F.col("p_partkey") % 300 + 1850).cast("string"), F.lit(", then twenty five kilograms."))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def benchmark_terms(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The registry: all longer words of the benchmark's texts. One term above the largest registry that is searched tells that it is
+    too large, in which case nothing is retrieved."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    w = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 6).groupBy("w").count()
-    return sorted(r["w"] for r in w.orderBy(F.desc("count"), "w").limit(most).collect())
+    w = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 6).distinct()
+    return sorted(r["w"] for r in w.limit(REGISTRY_MOST + 1).collect())
 
 
-def rows(name: str, schema: str, source: Source = turns) -> Callable:
-    """Register ``f(row) -> rows`` over a source. The row is a named tuple; results are tuples of the schema."""
+def _in_batches(source: DataFrame, schema: str, made: Callable[[], Callable[[tuple], Iterable[tuple]]]) -> DataFrame:
+    """Rows of ``schema`` from a function of a row, which is made once in each task."""
+    kinds = T.StructType.fromDDL(schema)
+    columns = source.columns
 
-    def keep(f: Callable) -> Callable:
-        names = [c.split()[0] for c in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, arrow, row = made(), to_arrow_schema(kinds), namedtuple("Row", columns)
+        for batch in batches:
+            found = [out for r in map(row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)) for out in f(r)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], field.type) for i, field in enumerate(arrow)], schema=arrow)
 
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    yield pd.DataFrame([out for row in frame.itertuples(index=False) for out in f(row)], columns=names)
+    return source.mapInArrow(run, schema)
 
-            return source(spark, sf_dir).mapInPandas(batches, schema)
 
-        query(name)(run)
+def rows(name: str, schema: str, source: Source = turns) -> Callable:
+    """Register ``f(row) -> rows`` over a source. The row is a named tuple; results are tuples of the schema."""
+
+    def keep(f: Callable) -> Callable:
+        query(name)(lambda spark, sf_dir: _in_batches(source(spark, sf_dir), schema, lambda: f))
         return f
 
     return keep
@@ -74,17 +97,17 @@ def tokenized(r) -> Iterable[tuple]:
 
 @rows("sc_05", "doc_id long, numbers string", documents)
 def spoken_numbers(r) -> Iterable[tuple]:
-    return [(r.doc_id, " ".join(tokens.numbers(tokens.words(r.text))))]
+    return [(r.doc_id, " ".join(numbers.numbers(tokens.words(r.text))))]
 
 
 @rows("sc_06", f"{_KEY}, part long, equivalent boolean", spans)
 def numeric_equivalence(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, r.part, tokens.numeric_or_unit_equivalent(tokens.words(r.apple), tokens.words(r.whisper)))]
+    return [(r.episode_key, r.id, r.part, numbers.numeric_or_unit_equivalent(tokens.words(r.apple), tokens.words(r.whisper)))]
 
 
 @rows("sc_07", "doc_id long, units string", documents)
 def units_near_numbers(r) -> Iterable[tuple]:
-    return [(r.doc_id, ",".join(sorted(tokens.measurement_units(tokens.words(r.text)))))]
+    return [(r.doc_id, ",".join(sorted(numbers.measurement_units(tokens.words(r.text)))))]
 
 
 @rows("sc_11", f"{_KEY}, similarity double")
@@ -99,12 +122,12 @@ def token_distance(r) -> Iterable[tuple]:
 
 @rows("sc_13", "doc_id long, form string", documents)
 def number_forms(r) -> Iterable[tuple]:
-    return [(r.doc_id, " ".join(w for w in tokens.number_form(r.text) if not w.isalpha()))]
+    return [(r.doc_id, " ".join(w for w in numbers.number_form(r.text) if not w.isalpha()))]
 
 
 @rows("sc_14", "doc_id long, n_values long, values_said string", documents)
 def values_said(r) -> Iterable[tuple]:
-    v = tokens.number_values(r.text)
+    v = numbers.number_values(r.text)
     return [(r.doc_id, len(v), " ".join(v))]
 
 
@@ -125,7 +148,7 @@ def quantity_ranges(r) -> Iterable[tuple]:
     return [(r.doc_id, str(f[0]), str(f[1])) for f in found if f]
 
 
-@rows("sc_23", "doc_id long, at int, value string, unit string", documents)
+@rows("sc_23", "doc_id long, at int, value string, unit string", labels_on_parts)
 def unit_mentions(r) -> Iterable[tuple]:
     return [(r.doc_id, at, str(v), u) for at, v, u in notes.quantity_mentions(r.text)]
 
@@ -175,7 +198,9 @@ def aligned(r) -> Iterable[tuple]:
 
 @rows("al_02", f"{_KEY}, part long, tag string, i1 int, i2 int, j1 int, j2 int", spans)
 def globally_aligned(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, r.part, *c) for c in sequences.global_opcodes(tokens.words(r.apple)[:160], tokens.words(r.whisper)[:160]) or ()]
+    """Opcodes of the whole words; a window too large for the matrix has one row that says so."""
+    found = sequences.global_opcodes(tokens.words(r.apple), tokens.words(r.whisper))
+    return [(r.episode_key, r.id, r.part, *c) for c in ([("skipped_window_too_large", None, None, None, None)] if found is None else found)]
 
 
 @rows("al_03", f"{_KEY}, region int, i1 int, i2 int, j1 int, j2 int, reason string")
@@ -214,16 +239,6 @@ def classified(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, *k, n) for k, n in sorted(count.items())]
 
 
-@rows("al_07", f"{_KEY}, diff int, a_from int, a_to int, b_from int, b_to int, kind string, severity string, source_only string, category string")
-def differences(r) -> Iterable[tuple]:
-    out, a = [], tokens.words(r.apple)
-    for k, (i1, i2, j1, j2, kind, severity) in enumerate(_differences(r.apple, r.whisper), 1):
-        only = "apple" if j1 == j2 else "whisper" if i1 == i2 else None
-        category = {"number_mismatch": "protocol_number", "negation_mismatch": "negation"}.get(kind) or ("unit" if tokens.measurement_units(a[max(0, i1 - 2) : i2]) else "other")
-        out.append((r.episode_key, r.id, k, i1, i2, j1, j2, kind, severity, only, category))
-    return out
-
-
 @rows("al_09", f"{_KEY}, consensus string, edits long")
 def consensus(r) -> Iterable[tuple]:
     """The second reading, with what only the first one has put back."""
@@ -250,7 +265,7 @@ def resolutions(r) -> Iterable[tuple]:
 
 @rows("al_11", f"{_KEY}, part long, route string, reason string", spans)
 def materiality(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, r.part, *rules.verdict(r.apple, r.whisper, r.before))]
+    return [(r.episode_key, r.id, r.part, *materiality.verdict(r.apple, r.whisper, r.before, r.after))]
 
 
 @rows("al_13", f"{_KEY}, part long, tier string, reason string, source string", spans)
@@ -305,7 +320,7 @@ def anchored_window(r) -> Iterable[tuple]:
     return []
 
 
-@rows("jn_19", f"{_KEY}, focus string, place string, n long")
+@rows("jn_19", f"{_KEY}, focus string, place string, n long", episodes)
 def corroboration(r) -> Iterable[tuple]:
     """Where a disputed word stands in regions on which both readings agree: before or after the dispute, five at most."""
     a = tokens.words(r.apple)
@@ -385,19 +400,17 @@ def markdown_notes(r) -> Iterable[tuple]:
 
 
 def _with_terms(name: str, schema: str, source: Source) -> Callable:
-    """Like ``rows``, with the registry's terms, whose number is bounded, as a second argument."""
+    """Like ``rows``, with the registry, whose size is bounded, as a second argument."""
 
     def keep(f: Callable) -> Callable:
-        names = [c.split()[0] for c in schema.split(", ")]
-
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            terms = benchmark_terms(spark, sf_dir)
+            known = benchmark_terms(spark, sf_dir)
 
-            def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    yield pd.DataFrame([out for row in frame.itertuples(index=False) for out in f(row, terms)], columns=names)
+            def made() -> Callable:
+                terms = Terms(known)
+                return lambda row: f(row, terms)
 
-            return source(spark, sf_dir).mapInPandas(batches, schema)
+            return _in_batches(source(spark, sf_dir), schema, made)
 
         query(name)(run)
         return f
@@ -405,105 +418,171 @@ def _with_terms(name: str, schema: str, source: Source) -> Callable:
     return keep
 
 
-def _near_terms(words: list[str], terms: list[str], least: float = 0.82) -> list[tuple[float, str]]:
-    """Terms like one of the words: by first letter and length first, then by the ratio."""
-    out = {}
-    for w in set(words):
-        for t in terms:
-            if w[:1] == t[:1] and abs(len(w) - len(t)) <= 3 and (s := sequences.ratio(w, t)) >= least:
-                out[t] = max(s, out.get(t, 0))
-    return sorted(((s, t) for t, s in out.items()), key=lambda x: (-x[0], x[1]))
+def _changed(r) -> tuple[list[str], list[str]]:
+    """The words of each reading that the other lacks."""
+    a, b = tokens.words(r.apple), tokens.words(r.whisper)
+    codes = [c for c in sequences.opcodes(a, b) if c[0] != "equal"]
+    return [w for _, i, j, _, _ in codes for w in a[i:j]], [w for *_, i, j in codes for w in b[i:j]]
 
 
-@_with_terms("jn_11", f"{_KEY}, term string, score double", turns)
-def glossary_matches(r, terms: list[str]) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, t, s) for s, t in _near_terms(tokens.words(r.apple), terms)]
+@_with_terms("jn_11", f"{_KEY}, part long, term string", spans)
+def glossary_matches(r, terms: Terms) -> Iterable[tuple]:
+    """Terms in a sentence of which a word that the other reading lacks is a part."""
+    a, b = _changed(r)
+    found = dict.fromkeys([*terms.of_difference(a, tokens.words(r.apple)), *terms.of_difference(b, tokens.words(r.whisper))])
+    return [(r.episode_key, r.id, r.part, t) for t in found]
 
 
-@_with_terms("tk_02", f"{_KEY}, part long, place long, term string, score double", spans)
-def best_terms(r, terms: list[str]) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, r.part, k, t, s) for k, (s, t) in enumerate(_near_terms(tokens.words(r.apple) + tokens.words(r.whisper), terms)[:3], 1)]
+@_with_terms("tk_02", f"{_KEY}, part long, place long, term string, score double, apple_score double, whisper_score double", spans)
+def best_terms(r, terms: Terms) -> Iterable[tuple]:
+    return [(r.episode_key, r.id, r.part, k, *t) for k, t in enumerate(terms.top(*_changed(r)), 1)]
 
 
 @_with_terms("tk_03", f"{_KEY}, part long, terms string", spans)
-def glossary_candidates(r, terms: list[str]) -> Iterable[tuple]:
-    a, b = (dict((t, s) for s, t in _near_terms(tokens.words(x), terms)) for x in (r.apple, r.whisper))
-    both = sorted(a.keys() & b.keys(), key=lambda t: (-min(a[t], b[t]), t))
-    return [(r.episode_key, r.id, r.part, ",".join(both[:3]))]
+def glossary_candidates(r, terms: Terms) -> Iterable[tuple]:
+    return [(r.episode_key, r.id, r.part, ",".join(terms.both(tokens.words(r.apple), tokens.words(r.whisper))))]
 
 
 @_with_terms("prj_10", f"{_KEY}, part long, scope string, focus string", spans)
-def resolver_focus(r, terms: list[str]) -> Iterable[tuple]:
+def resolver_focus(r, terms: Terms) -> Iterable[tuple]:
     """The word of a span that is nearest to a term, or all of the span."""
-    near = [(s, w) for w in tokens.words(r.apple) for s, _ in _near_terms([w], terms)[:1]]
-    return [(r.episode_key, r.id, r.part, "partial", max(near, key=lambda x: (x[0], x[1]))[1]) if near else (r.episode_key, r.id, r.part, "full", r.apple)]
+    word = terms.focus(tokens.words(r.apple))
+    return [(r.episode_key, r.id, r.part, "partial", word) if word else (r.episode_key, r.id, r.part, "full", r.apple)]
 
 
 @_with_terms("al_12", f"{_KEY}, part long, source string, step string", spans)
-def chosen_reading(r, terms: list[str]) -> Iterable[tuple]:
+def chosen_reading(r, terms: Terms) -> Iterable[tuple]:
     votes = [("apple", "whisper")[(r.id + r.part * k) % 2] for k in (1, 2, 3)]
-    return [(r.episode_key, r.id, r.part, *rules.choose(r.apple, r.whisper, rules.verdict(r.apple, r.whisper)[1], r.third, terms, votes))]
+    reason = materiality.verdict(r.apple, r.whisper, r.before, r.after)[1]
+    return [(r.episode_key, r.id, r.part, *materiality.choose(r.apple, r.whisper, reason, r.third, terms.terms, votes))]
 
 
-def _per_key(name: str, schema: str) -> Callable:
-    """Register a fold over a user's events in order: grouped by user, each group's rows a bounded ledger."""
+@_with_terms(
+    "al_07", f"{_KEY}, part long, diff int, a_from int, a_to int, b_from int, b_to int, kind string, severity string, category string, apple_text string, whisper_text string, similarity double, "
+    "domain_terms string, citation_signal boolean, source_only string, risk_reasons string, repetition boolean", spans,
+)
+def built_differences(r, terms: Terms) -> Iterable[tuple]:
+    """All differences; a term's category follows from its first letter, as the analog's registry has none."""
+    category_of = {t: diffs.GLOSSARY_CATEGORIES[ord(t[0]) % len(diffs.GLOSSARY_CATEGORIES)] for t in terms.terms}
+    return [
+        (r.episode_key, r.id, r.part, d.id, d.apple_start, d.apple_end, d.whisper_start, d.whisper_end, d.kind, d.severity, d.category, d.apple_text, d.whisper_text, d.similarity, ",".join(d.domain_terms), d.citation_signal, d.source_only, ",".join(d.risk_reasons), d.repetition)
+        for d in diffs.differences(r.apple, r.whisper, terms, category_of)
+    ]
 
-    def keep(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+
+def _fold(name: str, schema: str, sql: str | None = None) -> Callable:
+    """Register a fold over each user's events in order: ``f()`` gives a function of an event, with a fresh state for each user. The
+    shuffle sorts; a task holds one user's state and one batch, however many events a user has."""
+
+    def keep(f: Callable[[], Callable]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.col("value").cast("decimal(18,2)").cast("string").alias("value"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-            return e.groupBy("user_id").applyInPandas(lambda g: f(g.sort_values("event_id")), schema)
+            e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
-        query(name)(run)
+            def made() -> Callable:
+                user, step = object(), None
+
+                def one(r) -> Iterable[tuple]:
+                    nonlocal user, step
+                    if r.user_id != user:
+                        user, step = r.user_id, f()
+                    return [(r.user_id, r.event_id, *step(r))]
+
+                return one
+
+            return _in_batches(e.repartition("user_id").sortWithinPartitions("user_id", "event_id"), schema, made)
+
+        query(name, sql)(run)
         return f
 
     return keep
 
 
-@_per_key("sm_01", "user_id long, event_id long, outcome string, committed string")
-def admission(g: pd.DataFrame) -> pd.DataFrame:
+#: Events of a user in order, as the checks on the folds walk through them.
+_STEPS = "SELECT user_id, event_id, event_type, CAST(value AS DECIMAL(18,2)) AS value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events"
+
+
+@_fold(
+    "sm_01", "user_id long, event_id long, outcome string, committed string",
+    f"""WITH RECURSIVE e AS ({_STEPS}), s AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS rn, '' AS outcome, CAST(0 AS DECIMAL(18,2)) AS total, CAST(0 AS DECIMAL(18,2)) AS third FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, event_id, rn, outcome, CAST(CASE WHEN outcome = 'admitted' THEN total + value ELSE total END AS DECIMAL(18,2)), CAST(CASE WHEN outcome = 'admitted' AND is_third THEN third + value ELSE third END AS DECIMAL(18,2))
+        FROM (SELECT e.user_id, e.event_id, e.rn, e.value, e.k % 7 = 0 AS is_third, s.total, s.third,
+                     CASE WHEN e.value <= 0 THEN 'conflict' WHEN s.total + e.value > 1600 OR e.k % 7 = 0 AND s.third + e.value > 100 OR s.third > 100 THEN 'refused' ELSE 'admitted' END AS outcome
+              FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1) x)
+        SELECT user_id, event_id, outcome, CAST(total AS VARCHAR) AS committed FROM s WHERE rn > 0""",
+)
+def admission() -> Callable:
     """Requests in order against one ledger; the caps are times 1,000, as these values are."""
-    state, out = ledger.new_state(), []
-    for r in g.itertuples():
-        got = ledger.reserve(state, [(str(r.event_id), Decimal(r.value), r.k % 7 == 0)], Decimal(0), ledger.CAP * 1000, ledger.THIRD_CAP * 1000)
-        out.append((r.user_id, r.event_id, got, str(ledger.committed(state))))
-    return pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "committed"])
+    state = ledger.new_state()
 
+    def step(r) -> tuple:
+        got = ledger.reserve(state, [(str(r.event_id), r.value, r.k is not None and r.k % 7 == 0)], Decimal(0), ledger.CAP * 1000, ledger.THIRD_CAP * 1000)
+        return got, f"{ledger.committed(state):.2f}"
 
-@_per_key("sm_02", "user_id long, event_id long, step string")
-def attempt_states(g: pd.DataFrame) -> pd.DataFrame:
-    state, out, open_ = ledger.new_state(), [], []
+    return step
+
+
+@_fold("sm_02", "user_id long, event_id long, step string")
+def attempt_states() -> Callable:
+    state, open_ = ledger.new_state(), deque()
     how = {"purchase": "settled", "view": "uncertain", "error": "released"}
-    for r in g.itertuples():
+
+    def step(r) -> tuple:
         if r.event_type in how and open_:
-            step = ledger.finish(state, open_.pop(0), how[r.event_type], Decimal(r.value))
-        else:
-            step = ledger.reserve(state, [(str(r.event_id), Decimal(r.value), False)], Decimal(0), Decimal(10**9))
-            open_.append(str(r.event_id))
-        out.append((r.user_id, r.event_id, step))
-    return pd.DataFrame(out, columns=["user_id", "event_id", "step"])
+            return (ledger.finish(state, open_.popleft(), how[r.event_type], r.value),)
+        open_.append(str(r.event_id))
+        return (ledger.reserve(state, [(str(r.event_id), r.value, False)], Decimal(0), Decimal(10**9)),)
+
+    return step
+
+
+@_fold(
+    "sm_03", "user_id long, event_id long, owner string, got boolean",
+    f"""WITH RECURSIVE e AS ({_STEPS}), s AS (
+        SELECT user_id, event_id, rn, event_type AS owner, CAST(event_id AS DOUBLE) + 600 AS until, true AS got FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, event_id, rn, CASE WHEN got THEN event_type ELSE owner END, CASE WHEN got THEN CAST(event_id AS DOUBLE) + 600 ELSE until END, got
+        FROM (SELECT e.*, s.owner, s.until, s.until <= e.event_id OR s.owner = e.event_type AS got FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1) x)
+        SELECT user_id, event_id, owner, got FROM s""",
+)
+def leases() -> Callable:
+    owner = None
+
+    def step(r) -> tuple:
+        nonlocal owner
+        owner, got = ledger.lease(owner, r.event_type, float(r.event_id))
+        return owner[0], got
 
+    return step
 
-@_per_key("sm_03", "user_id long, event_id long, owner string, got boolean")
-def leases(g: pd.DataFrame) -> pd.DataFrame:
-    owner, out = None, []
-    for r in g.itertuples():
-        owner, got = ledger.lease(owner, r.event_type, float(r.event_id))
-        out.append((r.user_id, r.event_id, owner[0], got))
-    return pd.DataFrame(out, columns=["user_id", "event_id", "owner", "got"])
 
+@_fold(
+    "wn_05", "user_id long, event_id long, start_at double",
+    f"""WITH RECURSIVE e AS (SELECT *, CAST(event_id % 100 AS DOUBLE) + CAST(value AS DOUBLE) / 1000 AS at FROM ({_STEPS}) x), s AS (
+        SELECT user_id, event_id, rn, at AS start_at FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.user_id, e.event_id, e.rn, CASE WHEN s.start_at > e.at AND s.start_at - e.at <= 0.5 THEN s.start_at ELSE e.at END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+        SELECT user_id, event_id, start_at FROM s""",
+)
+def clamped() -> Callable:
+    """Steps back of half a second or less are set to the time before, which then counts for the next."""
+    last: list[float] = []
+
+    def step(r) -> tuple:
+        last[:] = sequences.clamp_backsteps([*last, float(r.event_id % 100) + float(r.value) / 1000])[-1:]
+        return (last[0],)
 
-@_per_key("wn_05", "user_id long, event_id long, start_at double")
-def clamped(g: pd.DataFrame) -> pd.DataFrame:
-    starts = [float(r.event_id % 100) + float(r.value) / 1000 for r in g.itertuples()]
-    return pd.DataFrame({"user_id": g["user_id"].to_numpy(), "event_id": g["event_id"].to_numpy(), "start_at": sequences.clamp_backsteps(starts)})
+    return step
 
 
-@query("tk_11")
+@query(
+    "tk_11",
+    """SELECT conv_id, sha256('[' || string_agg(x, ',' ORDER BY x) || ']') AS fingerprint FROM (
+        SELECT conv_id, CAST(turn AS VARCHAR) || ':' || coalesce(role, '') || ':' || sha256(coalesce(text, '')) AS x FROM conversations) t GROUP BY conv_id""",
+)
 def canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of a conversation's turns that doesn't depend on their order."""
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return t.groupBy("conv_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.to_json(F.struct("turn", "role", "text"))))), 256).alias("fingerprint"))
-
-
-def digest(value: object) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    item = F.concat(F.col("turn").cast("string"), F.lit(":"), F.coalesce("role", F.lit("")), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return t.groupBy("conv_id").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]")).cast("binary"), 256).alias("fingerprint"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ledger
-from ..operators.upsert import insert_absent
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,44 +24,46 @@ def shared_folder(spark: SparkSession) -> str:
 def ingest(spark: SparkSession, path: str, schema: T.StructType, key: str, valid: str, target: str | None = None, glob: str = "*") -> DataFrame:
     """Take the files under ``path`` into a keyed table once each: rows that ``valid`` accepts and whose key is new are appended.
 
-    A file seen again, a batch that runs again and a repeated key change nothing. Returns the table.
+    Keys that were taken are the stream's state, so no batch reads the table again. Offsets and state stand beside the target: a file
+    seen again, a batch that runs again, a repeated key and a second call change nothing. Rows with a null key count as one key. One
+    stream at a time may write to a target; the checkpoint's log makes a second one fail. Returns the table.
     """
-    root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    target = target or f"{root}/table"
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)
-
-    def take(batch: DataFrame, _: int) -> None:
-        known = spark.read.schema(schema).parquet(target)
-        insert_absent(known, batch.filter(valid), [key]).write.mode("append").parquet(target)
-
+    target = target or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
-    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    taken = stream.filter(valid).dropDuplicates([key])
+    taken.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{target.rstrip('/')}-offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(target)
 
 
-_STATE = T.StructType([T.StructField("attempts", T.StringType()), T.StructField("locked", T.BooleanType())])
+_ATTEMPT = T.StructType([T.StructField("usd", T.StringType()), T.StructField("reserved", T.StringType()), T.StructField("third", T.BooleanType()), T.StructField("state", T.StringType())])
+_STATE = T.StructType([T.StructField("attempts", T.MapType(T.StringType(), _ATTEMPT)), T.StructField("total", T.StringType()), T.StructField("third", T.StringType()), T.StructField("locked", T.BooleanType())])
 _OUT = "episode_key long, attempt_id long, outcome string, committed string"
+#: A ledger without a request for so long is closed, and its state dropped.
+CLOSED_AFTER_MS = 30 * 24 * 3600 * 1000
 
 
 def admit(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """The batch fold of a ledger, over what has arrived, on state that is kept between batches."""
-    import json
-
+    if state.hasTimedOut:
+        state.remove()
+        return
     book = ledger.new_state()
     if state.exists:
-        raw, locked = state.get
-        book = {"attempts": {k: a | {"usd": Decimal(a["usd"]), "reserved": Decimal(a["reserved"])} for k, a in json.loads(raw).items()}, "locked": locked}
+        attempts, total, third, locked = state.get
+        book |= {"attempts": {k: {"usd": Decimal(a[0]), "reserved": Decimal(a[1]), "third": a[2], "state": a[3]} for k, a in attempts.items()}, "total": Decimal(total), "third": Decimal(third), "locked": locked}
     out = []
     for r in pd.concat(list(frames)).sort_values("attempt_id").itertuples():
         got = ledger.reserve(book, [(str(r.attempt_id), Decimal(r.usd), False)], Decimal(0), ledger.CAP * 1000)
         out.append((key[0], r.attempt_id, got, str(ledger.committed(book))))
-    state.update((json.dumps({k: a | {"usd": str(a["usd"]), "reserved": str(a["reserved"])} for k, a in book["attempts"].items()}), book["locked"]))
+    state.update(({k: (str(a["usd"]), str(a["reserved"]), a["third"], a["state"]) for k, a in book["attempts"].items()}, str(book["total"]), str(book["third"]), book["locked"]))
+    state.setTimeoutDuration(CLOSED_AFTER_MS)
     yield pd.DataFrame(out, columns=["episode_key", "attempt_id", "outcome", "committed"])
 
 
 def admission_stream(requests: DataFrame) -> DataFrame:
-    """A stream of requests (episode_key, attempt_id, usd as text) as a stream of outcomes."""
-    return requests.groupBy("episode_key").applyInPandasWithState(admit, _OUT, _STATE, "append", "NoTimeout")
+    """A stream of requests (episode_key, attempt_id, usd as text) as a stream of outcomes. A key's state is what its ledger admitted, which
+    the cap bounds for a least price, until it is closed."""
+    return requests.groupBy("episode_key").applyInPandasWithState(admit, _OUT, _STATE, "append", "ProcessingTimeTimeout")
 
 
 def first_notices(events: DataFrame, delay: str = "10 days") -> DataFrame:
