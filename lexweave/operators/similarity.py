@@ -5,41 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words of an n-gram, the least share, the fewest words of a duplicate, and how far back, in days, originals are looked for.
+GRAM, LEAST, WORDS_LEAST, DAYS = 4, 0.5, 1000, 30
+
 
 def normalised_words(text: Column) -> Column:
     """Lower-case words of letters; apostrophes vanish."""
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['’]", ""), r"(?U)[^\p{L}]+"), lambda w: w != "")
 
 
-def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, grams): every document's distinct n-grams; documents without one are left out."""
+def gram_sets(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` without its text, with words (how many) and grams, the distinct n-grams as hashes; documents without one are left out."""
 
-    def grams(w: Column) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+    def grams(h: Column) -> Column:
+        starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))
 
-    # The words are bound by a function's argument: a column would be put into the inner function as its whole expression, and the
+    # Words and hashes are bound by a function's argument: a column would be put into the inner function as its whole expression, and the
     # text be split anew for every gram.
-    bound = F.transform(F.array(normalised_words(F.col("text"))), grams)[0]
-    return docs.select("id", bound.alias("grams")).filter(F.size("grams") > 0)
+    bound = F.transform(F.array(normalised_words(F.col("text"))), lambda w: F.struct(F.size(w).alias("words"), F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), grams)[0].alias("grams")))[0]
+    kept = [c for c in docs.columns if c != "text"]
+    return docs.select(*kept, bound.alias("b")).select(*kept, "b.words", "b.grams").filter(F.size("grams") > 0)
+
 
+def containment_pairs(docs: DataFrame, n: int = GRAM, least: float = LEAST, reach: int | None = None) -> DataFrame:
+    """(id, earlier_id, common, grams, words, containment, is_best): how much of a document stands in an earlier one.
 
-def containment_pairs(docs: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
-    """(id, earlier_id, common, grams, containment, is_best): how much of a document stands in one with a smaller id.
+    ``docs`` has id, text and, with ``reach``, the whole number ``at``: then a document is earlier if its ``at`` is less, by ``reach`` at most;
+    else if its id is less. Grams are 64-bit hashes, and so is their comparison.
 
-    ``docs`` has id and text. A document of ``g`` grams that has ``least`` of them in another one must share one of its
-    g - ceil(least * g) + 1 rarest; only these ask for other documents, so that grams which thousands of documents have hardly ever
-    do. What they find is verified on the whole sets. Of a document's originals the best is the one with most in common,
-    the smallest id of equal ones.
+    1. One shuffle by gram tells in how many documents each stands. Grams of one document can't be shared; a document with less than
+       ``least`` of its grams left has no original and is gone.
+    2. Of ``k`` grams left, of which ``need`` must be shared, one of the k - need + 1 rarest must be. Only these ask for other documents,
+       within the reach's buckets, so grams that thousands of documents have hardly ever ask.
+    3. Pairs found are verified on what is left of both sets. Of a document's originals the best has most in common, of equal ones the
+       smallest id.
     """
-    sets = ngram_sets(docs, n)
-    each = sets.select("id", F.size("grams").alias("g"), F.explode("grams").alias("gram"))
-    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("in_docs"), F.min("id").alias("first"))
-    ranked = each.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("in_docs", "gram")))
-    asked = ranked.filter((F.col("place") <= F.col("g") - F.ceil(F.lit(least) * F.col("g")) + 1) & (F.col("id") > F.col("first"))).select("id", "gram")
-    found = asked.join(each.select(F.col("id").alias("earlier_id"), "gram"), "gram").filter("earlier_id < id").select("id", "earlier_id").distinct()
-    pairs = found.join(sets, "id").join(sets.select(F.col("id").alias("earlier_id"), F.col("grams").alias("earlier")), "earlier_id")
-    scored = pairs.select("id", "earlier_id", F.size(F.array_intersect("grams", "earlier")).cast("long").alias("common"), F.size("grams").cast("long").alias("grams"))
+    at = F.col("at") if reach else F.col("id")
+    sets = gram_sets(docs, n).select("id", at.cast("long").alias("at"), "words", F.size("grams").alias("g"), "grams")
+    each = sets.select("id", "at", "words", "g", F.explode("grams").alias("gram"))
+    by_gram = Window.partitionBy("gram")
+    shared = each.withColumn("in_docs", F.count(F.lit(1)).over(by_gram)).filter("in_docs > 1")
+    left = shared.groupBy("id").agg(F.first("at").alias("at"), F.first("words").alias("words"), F.first("g").alias("g"), F.sort_array(F.collect_list(F.struct("in_docs", "gram"))).alias("s"))
+    need = F.ceil(F.lit(least) * F.col("g")).cast("int")
+    asking = left.withColumn("need", need).filter(F.size("s") >= F.col("need"))
+    asked = asking.select("id", "at", F.explode(F.slice("s", 1, F.size("s") - F.col("need") + 1)).alias("x")).select("id", "at", "x.gram")
+    there = shared.select(F.col("id").alias("earlier_id"), F.col("at").alias("earlier_at"), "gram")
+    earlier = F.col("earlier_at") < F.col("at")
+    if reach:
+        bucket = lambda c: F.floor(F.col(c) / reach)
+        asked = asked.withColumn("b", F.explode(F.array(bucket("at"), bucket("at") - 1)))
+        found = asked.join(there.withColumn("b", bucket("earlier_at")), ["gram", "b"]).filter(earlier & (F.col("earlier_at") >= F.col("at") - reach))
+    else:
+        found = asked.join(there, "gram").filter(earlier)
+    pairs = found.select("id", "earlier_id").distinct()
+    grams = lambda c: F.transform("s", lambda x: x["gram"]).alias(c)
+    pairs = pairs.join(asking.select("id", "g", "words", grams("own")), "id").join(left.select(F.col("id").alias("earlier_id"), grams("earlier")), "earlier_id")
+    scored = pairs.select("id", "earlier_id", F.size(F.array_intersect("own", "earlier")).cast("long").alias("common"), F.col("g").cast("long").alias("grams"), F.col("words").cast("long").alias("words"))
     scored = scored.withColumn("containment", F.col("common") / F.col("grams")).filter(F.col("common") >= F.lit(least) * F.col("grams"))
     best = Window.partitionBy("id").orderBy(F.desc("common"), "earlier_id")
     return scored.withColumn("is_best", F.row_number().over(best) == 1)
+
+
+def duplicates(docs: DataFrame, reach: int = DAYS, words: int = WORDS_LEAST) -> DataFrame:
+    """Every pair at the least share within the reach, and whether it makes a duplicate: the best original of a document of ``words`` words."""
+    pairs = containment_pairs(docs, GRAM, LEAST, reach)
+    return pairs.withColumn("is_duplicate", F.col("is_best") & (F.col("words") >= words))

@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from . import filters, joins, python_ops, spend, state, telemetry, text  # noqa: F401
+from . import files, filters, joins, python_ops, spend, state, telemetry, text  # noqa: F401

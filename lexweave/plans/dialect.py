@@ -158,7 +158,7 @@ class Duck(Dialect):
     spark = False
 
 
-def _counted(statement: str) -> str:
+def checked(statement: str) -> str:
     """count_if(x) as a count of a CASE: null conditions count for nothing in either engine, and the type is the same."""
     while (at := statement.find("count_if(")) >= 0:
         end, depth = at + 9, 1
@@ -173,7 +173,7 @@ def sql(name: str) -> Callable:
     """Register a statement, given as a function of the dialect, as a query and as its check."""
 
     def keep(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
-        query(name, _counted(f(Duck())))(lambda spark, sf_dir: spark.sql(_counted(f(Dialect(sf_dir)))))
+        query(name, checked(f(Duck())))(lambda spark, sf_dir: spark.sql(checked(f(Dialect(sf_dir)))))
         return f
 
     return keep

@@ -28,12 +28,6 @@ def export_ready(q: Dialect) -> str:
     return f"SELECT o_orderkey, o_orderstatus IN ('F', 'P') AS ready FROM {q.t('orders')}"
 
 
-@sql("flt_04")
-def duplicate_verdict(q: Dialect) -> str:
-    """At least 1,000 words can be checked; half of the 4-grams contained makes a duplicate."""
-    return f"""WITH d AS (SELECT doc_id, {q.size(q.words("text"))} AS n, doc_id % 10 AS c FROM {q.t("documents")}) SELECT doc_id, n, n >= 1000 AS checkable, n >= 1000 AND c >= 5 AS duplicate FROM d"""
-
-
 @sql("flt_05")
 def enabled(q: Dialect) -> str:
     return f"SELECT c_custkey, c_name FROM {q.t('customer')} WHERE c_acctbal > 0"
@@ -252,52 +246,46 @@ def checkpoint_lines(q: Dialect) -> str:
     return f"WITH n AS (SELECT count(DISTINCT o_custkey) AS n FROM {q.t('orders')}), t AS ({t}) SELECT threshold, CASE WHEN threshold <= 100 THEN 'ACCEPTED' WHEN n >= threshold THEN 'REACHED' ELSE CAST(n AS STRING) || ' of ' || CAST(threshold AS STRING) END AS line FROM t JOIN n ON true"
 
 
-@sql("src_01")
 def episode_index(q: Dialect) -> str:
     return f"SELECT o_orderkey AS episode_key, o_custkey AS podcast_id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS published, coalesce(o_orderstatus, 'pending') AS state FROM {q.t('orders')}"
 
 
-@sql("src_02")
 def keyed_reads(q: Dialect) -> str:
     return f"SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NULL AS absent FROM {q.t('documents')} d LEFT JOIN {q.t('labels')} l ON l.doc_id = d.doc_id"
 
 
-@sql("src_06")
 def whole_texts(q: Dialect) -> str:
     return f"SELECT doc_id, length(text) AS n, {q.sha('text')} AS digest FROM {q.t('documents')}"
 
 
-@sql("src_10")
 def lexicon(q: Dialect) -> str:
     return f"SELECT DISTINCT 'exercise' AS kind, lower(trim(p_name)) AS term FROM {q.t('part')} UNION SELECT DISTINCT 'unit', lower(p_type) FROM {q.t('part')}"
 
 
-@sql("src_11")
 def golden_cases(q: Dialect) -> str:
     """Groups of provenance must not stand in two partitions."""
     return f"SELECT source, count(*) AS cases, count(DISTINCT lang) AS partitions, count(DISTINCT lang) = 1 AS clean FROM {q.t('documents')} GROUP BY source"
 
 
-@sql("src_14")
 def bibliography(q: Dialect) -> str:
     return f"SELECT p_partkey, p_name AS title, least(1.0, p_size / 40.0) AS score, 'first' AS provider FROM {q.t('part')} UNION ALL SELECT p_partkey, p_name, CAST(NULL AS DOUBLE), 'second' FROM {q.t('part')} WHERE p_size > 25".replace("p_size / 40.0", "CAST(p_size AS DOUBLE) / 40").replace("1.0,", "CAST(1 AS DOUBLE),")
 
 
-@sql("snk_02")
 def changed_only(q: Dialect) -> str:
     return f"""WITH fresh AS (SELECT doc_id, {q.sha("text")} AS digest FROM {q.t("documents")}), stored AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE {q.sha("text")} END AS digest FROM {q.t("documents")} WHERE doc_id % 3 <> 0) SELECT f.doc_id, f.digest FROM fresh f LEFT JOIN stored s ON s.doc_id = f.doc_id AND s.digest = f.digest WHERE s.doc_id IS NULL"""
 
 
-@sql("snk_07")
 def vault_export(q: Dialect) -> str:
     return f"SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) || ' ' || {q.rr('o_orderpriority', '[^A-Za-z0-9]+', '-')} || '.md' AS file_name, {q.sha('CAST(o_orderkey AS STRING)')} AS digest FROM {q.t('orders')} WHERE o_orderstatus IN ('F', 'P')"
 
 
 @sql("sm_04")
 def stage_machine(q: Dialect) -> str:
-    """The next stage of each episode, from those that are done; a deferral older than three days is told."""
-    return f"""WITH s AS (SELECT user_id, bool_or(event_type = 'signup') AS transcribed, bool_or(event_type = 'click') AS acquired, bool_or(event_type = 'view') AS compiled, bool_or(event_type = 'purchase') AS reviewed, max(CASE WHEN event_type = 'error' THEN event_id END) AS deferred_at FROM {q.t("events")} WHERE event_id % 50 < 7 GROUP BY user_id)
-        SELECT user_id, CASE WHEN NOT transcribed THEN 'transcribe' WHEN NOT acquired THEN 'acquire' WHEN NOT compiled THEN 'compile' WHEN NOT reviewed THEN 'review' ELSE 'note' END AS next_stage, coalesce(deferred_at > 5000, false) AS deferred_long FROM s"""
+    """The next stage of each episode, from those that are done since its last failure; a deferral long ago is told."""
+    last = lambda kind: f"max(CASE WHEN event_type = '{kind}' THEN event_id END)"
+    done = lambda kind: f"coalesce({last(kind)} > coalesce({last('error')}, -1), false)"
+    return f"""WITH s AS (SELECT user_id, {done("signup")} AS transcribed, {done("click")} AS acquired, {done("view")} AS compiled, {done("purchase")} AS reviewed, {last("error")} AS deferred_at, max(event_id) AS newest FROM {q.t("events")} GROUP BY user_id)
+        SELECT user_id, CASE WHEN NOT transcribed THEN 'transcribe' WHEN NOT acquired THEN 'acquire' WHEN NOT compiled THEN 'compile' WHEN NOT reviewed THEN 'review' ELSE 'note' END AS next_stage, coalesce(newest - deferred_at > 300, false) AS deferred_long FROM s"""
 
 
 @sql("sm_05")

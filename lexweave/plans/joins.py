@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similarity import containment_pairs
+from ..operators.similarity import WORDS_LEAST, duplicates, normalised_words
 from .dialect import Dialect, Duck, sql
 from .registry import query
 
@@ -113,18 +113,41 @@ def _grams(q: Dialect, source: str, n: int) -> str:
     return f"words AS (SELECT doc_id, {w} AS ws FROM {source}), grams AS (SELECT doc_id, gram FROM {q.unnest('doc_id', 'words', q._(f'array_distinct({grams})', f'list_distinct({grams})'), 'gram')} g), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id)"
 
 
-def _containment_check() -> str:
+#: A document is published every hour: so far back, in hours, originals are looked for.
+_REACH = 30 * 24
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the hour they were published in; the analog publishes one an hour."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("at"))
+
+
+def containment_check() -> str:
     q = Duck()
     return f"""WITH {_grams(q, f"(SELECT doc_id, text FROM {q.t('documents')} WHERE n_chars > 0)", 4)}, shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1), kept AS (SELECT g.doc_id, g.gram FROM grams g JOIN shared s ON s.gram = g.gram),
-        pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS earlier_id, count(*) AS common FROM kept a JOIN kept b ON b.gram = a.gram AND b.doc_id < a.doc_id GROUP BY a.doc_id, b.doc_id)
-        SELECT p.doc_id, p.earlier_id, p.common, s.n AS grams, CAST(p.common AS DOUBLE) / s.n AS containment FROM pairs p JOIN sizes s ON s.doc_id = p.doc_id WHERE 2 * p.common >= s.n"""
+        pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS earlier_id, count(*) AS common FROM kept a JOIN kept b ON b.gram = a.gram AND b.doc_id < a.doc_id AND b.doc_id >= a.doc_id - {_REACH} GROUP BY a.doc_id, b.doc_id),
+        found AS (SELECT p.doc_id, p.earlier_id, p.common, s.n AS grams, CAST(p.common AS DOUBLE) / s.n AS containment, CAST(len(w.ws) AS BIGINT) AS words FROM pairs p JOIN sizes s ON s.doc_id = p.doc_id JOIN words w ON w.doc_id = p.doc_id WHERE 2 * p.common >= s.n)
+        SELECT doc_id, earlier_id, common, grams, containment, words, words >= 1000 AND row_number() OVER (PARTITION BY doc_id ORDER BY common DESC, earlier_id) = 1 AS is_duplicate FROM found"""
 
 
-@query("jn_05", _containment_check())
+@query("jn_05", containment_check())
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share half their distinct 4-grams with an earlier one, and how many."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return containment_pairs(docs, 4, 0.5).select(F.col("id").alias("doc_id"), "earlier_id", "common", "grams", "containment")
+    """Documents that share half their distinct 4-grams with one of the 30 days before, and which of them are duplicates."""
+    found = duplicates(published(spark, sf_dir), _REACH)
+    return found.select(F.col("id").alias("doc_id"), "earlier_id", "common", "grams", "containment", "words", "is_duplicate")
+
+
+@query(
+    "flt_04",
+    f"""WITH found AS ({containment_check()}), {_grams(Duck(), "documents", 4).partition(", grams AS")[0]}
+        SELECT w.doc_id, CAST(coalesce(len(w.ws), 0) AS BIGINT) AS n, coalesce(len(w.ws), 0) >= 1000 AS checkable, count(CASE WHEN f.is_duplicate THEN 1 END) > 0 AS duplicate FROM words w LEFT JOIN found f ON f.doc_id = w.doc_id GROUP BY w.doc_id, w.ws""",
+)
+def duplicate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At least 1,000 words can be checked; half of the 4-grams in one earlier document makes a duplicate."""
+    docs = published(spark, sf_dir)
+    found = duplicates(docs, _REACH).filter("is_duplicate").select(F.col("id").alias("__id"))
+    n = F.size(normalised_words(F.col("text"))).cast("long")
+    return docs.join(found, docs["id"] == found["__id"], "left").select(F.col("id").alias("doc_id"), n.alias("n"), (n >= WORDS_LEAST).alias("checkable"), F.col("__id").isNotNull().alias("duplicate"))
 
 
 @sql("jn_08")

@@ -131,23 +131,6 @@ def values_said(r) -> Iterable[tuple]:
     return [(r.doc_id, len(v), " ".join(v))]
 
 
-@rows("sc_15", f"{_KEY}, n_words long, n_kept long")
-def filler_free(r) -> Iterable[tuple]:
-    w = tokens.words(r.apple)
-    return [(r.episode_key, r.id, len(w), len(tokens.without_fillers(w)))]
-
-
-@rows("sc_18", f"{_KEY}, part long, same boolean", spans)
-def colloquial_only(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, r.part, tokens.colloquial(tokens.words(r.apple)) == tokens.colloquial(tokens.words(r.whisper)))]
-
-
-@rows("sc_21", "doc_id long, low string, high string", documents)
-def quantity_ranges(r) -> Iterable[tuple]:
-    found = (notes.parse_range(m) for m in re.findall(r"\d+(?:\.\d+)?(?:\s*(?:-|to)\s*\d+(?:\.\d+)?)?", r.text))
-    return [(r.doc_id, str(f[0]), str(f[1])) for f in found if f]
-
-
 @rows("sc_23", "doc_id long, at int, value string, unit string", labels_on_parts)
 def unit_mentions(r) -> Iterable[tuple]:
     return [(r.doc_id, at, str(v), u) for at, v, u in notes.quantity_mentions(r.text)]
@@ -180,17 +163,6 @@ def rising_anchors(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, i, j) for i, j in sequences.anchors(tokens.words(r.apple), tokens.words(r.whisper), 5)]
 
 
-@rows("wn_10", "doc_id long, repeats boolean", documents)
-def repeat_runs(r) -> Iterable[tuple]:
-    return [(r.doc_id, tokens.repeat_run(tokens.words(r.text)))]
-
-
-@rows("wn_11", f"{_KEY}, duplicates long")
-def adjacent_spans(r) -> Iterable[tuple]:
-    w = tokens.words(r.apple)
-    return [(r.episode_key, r.id, sum(tokens.adjacent_duplicate(w, i, i + n) for n in (1, 2, 3) for i in range(len(w) - n + 1)))]
-
-
 @rows("al_01", f"{_KEY}, tag string, i1 int, i2 int, j1 int, j2 int")
 def aligned(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, *c) for c in sequences.opcodes(tokens.words(r.apple), tokens.words(r.whisper))]
@@ -264,7 +236,7 @@ def resolutions(r) -> Iterable[tuple]:
 
 
 @rows("al_11", f"{_KEY}, part long, route string, reason string", spans)
-def materiality(r) -> Iterable[tuple]:
+def routed(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, r.part, *materiality.verdict(r.apple, r.whisper, r.before, r.after))]
 
 
@@ -334,19 +306,6 @@ def corroboration(r) -> Iterable[tuple]:
     return out
 
 
-@rows("jn_14", f"{_KEY}, spots long, uncovered long")
-def coverage_gaps(r) -> Iterable[tuple]:
-    spots = [(m.start(), m[0].lower()) for m in re.finditer(r"[A-Za-z]{9,}", r.apple)]
-    placed = [(m.start(), m[0].lower()) for m in re.finditer(r"[A-Za-z]{9,}", r.whisper)]
-    return [(r.episode_key, r.id, len(spots), len(notes.uncovered(spots, placed, 40)))]
-
-
-@rows("tk_06", f"{_KEY}, total long, place long, term string")
-def coverage_candidates(r) -> Iterable[tuple]:
-    found = sorted((0 if len(m[0]) > 12 else 1, m.start(), m[0].lower()) for m in re.finditer(r"[A-Za-z]{9,}", r.apple))
-    return [(r.episode_key, r.id, len(found), k, t) for k, (_, _, t) in enumerate(found[:40], 1)]
-
-
 @rows("flt_17", f"{_KEY}, kept long, reasons string, rejected boolean")
 def note_checks(r) -> Iterable[tuple]:
     units = [(s, s) for s in re.split(r"(?<=\.)\s+", r.whisper)]
@@ -354,51 +313,6 @@ def note_checks(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, len(kept), ",".join(sorted(reasons)), rejected)]
 
 
-@rows("snk_06", f"{_KEY}, body string")
-def rendered_notes(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, notes.render(f"Turn {r.id}", [("Said", re.split(r"(?<=\.)\s+", r.apple))]))]
-
-
-@rows("snk_03", f"{_KEY}, report string")
-def markdown_reports(r) -> Iterable[tuple]:
-    lines = [f"| {k} | {d[4]} | {d[5]} |" for k, d in enumerate(_differences(r.apple, r.whisper)[:100], 1)]
-    return [(r.episode_key, r.id, "\n".join(["| # | kind | severity |", "|---|---|---|", *lines]))]
-
-
-@rows("snk_08", f"{_KEY}, payload string")
-def event_payloads(r) -> Iterable[tuple]:
-    return [(r.episode_key, r.id, json.dumps({"event": "review_ready", "severity": "INFO", "words": len(tokens.words(r.apple))}, sort_keys=True))]
-
-
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-
-
-@rows("src_05", "page_id long, paragraph long, words long, text string", _pages)
-def caption_paragraphs(r) -> Iterable[tuple]:
-    """Paragraphs as timed captions: their words, punctuation put back to the word before it."""
-    doc = ElementTree.fromstring("<tt>" + "".join(f"<p>{''.join(f'<span>{w}</span>' for w in re.findall(r'[A-Za-z]+|[,.;:!?]', p))}</p>" for p in re.findall(r"<p>([^<&]*)</p>", r.html)) + "</tt>")
-    out = []
-    for k, p in enumerate(doc):
-        text = " ".join(s.text or "" for s in p)
-        out.append((r.page_id, k, len(p), re.sub(r"\s+([,.;:!?])", r"\1", text)))
-    return out
-
-
-@rows("src_09", "page_id long, canonical string, aliases string", _pages)
-def vocabulary(r) -> Iterable[tuple]:
-    """A page's title as a term, and its links' texts as other forms, each once."""
-    title = re.search(r"<title>([^<]*)</title>", r.html)
-    seen = dict.fromkeys(x.strip().lower() for x in re.findall(r"<a [^>]*>([^<]*)</a>", r.html))
-    return [(r.page_id, title[1] if title else "", "|".join(x for x in seen if x))]
-
-
-@rows("src_13", f"{_KEY}, title string, n_keys long")
-def markdown_notes(r) -> Iterable[tuple]:
-    matter = notes.front_matter(f"---\ntitle: {r.apple.split('.')[0]}\nepisode: {r.episode_key}\n---\n{r.apple}")
-    return [(r.episode_key, r.id, matter.get("title"), len(matter))]
-
-
 def _with_terms(name: str, schema: str, source: Source) -> Callable:
     """Like ``rows``, with the registry, whose size is bounded, as a second argument."""
 
@@ -559,10 +473,10 @@ def leases() -> Callable:
 
 @_fold(
     "wn_05", "user_id long, event_id long, start_at double",
-    f"""WITH RECURSIVE e AS (SELECT *, CAST(event_id % 100 AS DOUBLE) + CAST(value AS DOUBLE) / 1000 AS at FROM ({_STEPS}) x), s AS (
-        SELECT user_id, event_id, rn, at AS start_at FROM e WHERE rn = 1
+    f"""WITH RECURSIVE e AS (SELECT *, CAST(event_id % 100 AS DOUBLE) + CAST(value AS DOUBLE) / 1000 AS told FROM ({_STEPS}) x), s AS (
+        SELECT user_id, event_id, rn, told AS start_at FROM e WHERE rn = 1
         UNION ALL
-        SELECT e.user_id, e.event_id, e.rn, CASE WHEN s.start_at > e.at AND s.start_at - e.at <= 0.5 THEN s.start_at ELSE e.at END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+        SELECT e.user_id, e.event_id, e.rn, CASE WHEN s.start_at > e.told AND s.start_at - e.told <= 0.5 THEN s.start_at ELSE e.told END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
         SELECT user_id, event_id, start_at FROM s""",
 )
 def clamped() -> Callable:

@@ -35,8 +35,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Republished documents: pairs of which the later one has half its 4-grams in the earlier, with the best original of each."""
-    from ..operators.similarity import containment_pairs
+    """Republished documents: pairs of which the later one has half its 4-grams in one of the 30 days before, the best original of each,
+    and whether, at 1,000 words or more, it counts as a duplicate."""
+    from ..operators.similarity import duplicates
+    from .joins import published
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return containment_pairs(docs, n=4, least=0.5)
+    return duplicates(published(spark, sf_dir), reach=30 * 24)

@@ -116,14 +116,12 @@ def price_ceiling(q: Dialect) -> str:
                CASE WHEN p_size % 3 = 0 THEN 'existing' ELSE 'bound' END AS source FROM {q.t("part")}"""
 
 
-@sql("snk_04")
 def report_columns(q: Dialect) -> str:
     """The report's fixed columns, one for each stage."""
     columns = ", ".join(f"{_sum(f"stage = '{s}' AND state <> 'released'")} AS {s}_usd" for s in STAGES)
     return f"WITH {q.attempts()} SELECT episode_key, {columns}, count(*) AS attempts FROM attempts GROUP BY episode_key"
 
 
-@sql("src_03")
 def scan_ledgers(q: Dialect) -> str:
     """Attempts of all ledgers, one row each."""
     return f"WITH {q.attempts()} SELECT episode_key, attempt_id, state, stage, third, CAST(usd AS DOUBLE) AS usd FROM attempts"

@@ -38,12 +38,6 @@ def refused_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas_upsert(*_index(spark, sf_dir))[1].select("key", F.col("at").alias("seq"))
 
 
-@sql("snk_05")
-def telemetry_lines(q: Dialect) -> str:
-    """The telemetry report as lines of a table."""
-    return f"WITH {q.cards()}, c AS (SELECT kind, severity, count(*) AS n FROM cards GROUP BY kind, severity) SELECT '| ' || kind || ' | ' || severity || ' | ' || CAST(n AS STRING) || ' |' AS line FROM c"
-
-
 @sql("sm_08")
 def bounded_work(q: Dialect) -> str:
     """Work in order until five failures stand in a row; what comes after isn't tried. Failed items before that get one more try."""

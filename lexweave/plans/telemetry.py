@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .dialect import Dialect, sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.ranks import global_rank
+from .dialect import Dialect, Duck, checked, sql
+from .registry import query
 
 #: The sources a decision can choose, and the groups and tiers of a queue.
 SOURCES = ["apple", "whisper", "manual", "third_asr", "<unknown>"]
@@ -133,10 +138,15 @@ def backfill_counts(q: Dialect) -> str:
         SELECT category, status, count(*) AS candidates FROM s GROUP BY category, status"""
 
 
-@sql("ag_26")
-def tag_candidates(q: Dialect) -> str:
+def _tags(q: Dialect) -> str:
     return f"""WITH r AS (SELECT p_name AS slug, p_type AS source_type, count(*) AS n FROM {q.t("part")} GROUP BY p_name, p_type)
-        SELECT slug, CAST(sum(n) AS BIGINT) AS occurrences, {q.sorted_list("source_type || '=' || CAST(n AS STRING)")} AS source_types, row_number() OVER (ORDER BY sum(n) DESC, slug) AS place FROM r GROUP BY slug"""
+        SELECT slug, CAST(sum(n) AS BIGINT) AS occurrences, {q.sorted_list("source_type || '=' || CAST(n AS STRING)")} AS source_types FROM r GROUP BY slug"""
+
+
+@query("ag_26", f"SELECT *, row_number() OVER (ORDER BY occurrences DESC, slug) AS place FROM ({checked(_tags(Duck()))}) t")
+def tag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by how often they occur."""
+    return global_rank(spark.sql(checked(_tags(Dialect(sf_dir)))), [F.desc("occurrences"), F.col("slug")])
 
 
 @sql("ag_27")
@@ -165,10 +175,14 @@ def save_log(q: Dialect) -> str:
     return f"WITH {q.cards()} SELECT episode_key, grp, count(*) AS decisions, count_if(chosen_source IS DISTINCT FROM suggested_source) AS overruled, CAST(sum(seconds) AS BIGINT) AS seconds FROM cards WHERE decided GROUP BY episode_key, grp".replace("IS DISTINCT FROM suggested_source", "IS NULL OR suggested_source IS NULL OR chosen_source <> suggested_source")
 
 
-@sql("tk_01")
-def latest_first(q: Dialect) -> str:
+def _published(q: Dialect) -> str:
+    return f"SELECT o_orderkey AS episode_key, CAST(CAST(o_orderdate AS DATE) AS STRING) AS published FROM {q.t('orders')}"
+
+
+@query("tk_01", f"SELECT *, row_number() OVER (ORDER BY published DESC, CAST(episode_key AS VARCHAR) DESC) AS place FROM ({_published(Duck())}) t")
+def latest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By publication as text, then by key, both falling."""
-    return f"SELECT o_orderkey AS episode_key, CAST(CAST(o_orderdate AS DATE) AS STRING) AS published, row_number() OVER (ORDER BY CAST(CAST(o_orderdate AS DATE) AS STRING) DESC, CAST(o_orderkey AS STRING) DESC) AS place FROM {q.t('orders')}"
+    return global_rank(spark.sql(_published(Dialect(sf_dir))), [F.desc("published"), F.desc(F.col("episode_key").cast("string"))])
 
 
 #: The resolver's queue, first category first, and how many it takes.
@@ -205,12 +219,20 @@ def beyond_newest(q: Dialect) -> str:
     return f"WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {q.t('orders')}) SELECT o_custkey, o_orderkey, rn FROM r WHERE rn > 5"
 
 
-@sql("tk_10")
-def balanced_sample(q: Dialect) -> str:
+@query(
+    "tk_10",
+    """WITH l AS (SELECT doc_id, toxic, sha256('133:' || CAST(doc_id AS VARCHAR)) AS rank FROM labels), n AS (SELECT count(CASE WHEN toxic = 1 THEN 1 END) AS n FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY rank, doc_id) AS rn FROM l)
+        SELECT doc_id, toxic, row_number() OVER (ORDER BY rank, doc_id) AS place FROM r JOIN n ON true WHERE toxic = 1 OR rn <= n""",
+)
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All positive rows and as many others, drawn and shuffled by a seeded digest. The number, not the draw, depends on the data."""
-    rank = q.sha("'133:' || CAST(doc_id AS STRING)")
-    return f"""WITH l AS (SELECT doc_id, toxic, {rank} AS rank FROM {q.t("labels")}), n AS (SELECT count_if(toxic = 1) AS n FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY rank, doc_id) AS rn FROM l)
-        SELECT doc_id, toxic, row_number() OVER (ORDER BY rank, doc_id) AS place FROM r JOIN n ON true WHERE toxic = 1 OR rn <= n"""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic", F.sha2(F.concat(F.lit("133:"), F.col("doc_id").cast("string")).cast("binary"), 256).alias("rank"))
+    n = rows.filter("toxic = 1").count()
+    # classes follow each other in one order: a row's place in its class is its place less those before its class
+    ranked = global_rank(rows, [F.col("toxic"), F.col("rank"), F.col("doc_id")], "in_order")
+    first = ranked.groupBy("toxic").agg(F.min("in_order").alias("first"))
+    drawn = ranked.join(F.broadcast(first), "toxic").filter((F.col("toxic") == 1) | (F.col("in_order") - F.col("first") < n))
+    return global_rank(drawn.select("doc_id", "toxic", "rank"), [F.col("rank"), F.col("doc_id")]).select("doc_id", "toxic", "place")
 
 
 @sql("wn_08")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.tokens import COLLOQUIAL, FILLER_PHRASES, FILLERS
 from .dialect import Dialect, sql
 
 # Fixed values.
@@ -33,15 +34,19 @@ def adjacent_repetitions(q: Dialect) -> str:
 
 @sql("wn_02")
 def context_frames(q: Dialect) -> str:
-    """The words around a place, two and five to each side, cut at the text's ends."""
-    frame = lambda r: q.join(q.slice("ws", f"greatest(1, 10 - {r})", f"10 + {r} - greatest(1, 10 - {r}) + 1"))
-    return f"WITH {_docs(q)} SELECT doc_id, {frame(2)} AS near, {frame(5)} AS wide, {frame(30)} AS widest FROM d"
+    """The words around every place: two to each side, and a digest of five, ten and thirty to each side, cut at the text's ends."""
+    frame = lambda r: q.join(q.slice("v", f"greatest(1, i - {r})", f"i + {r} - greatest(1, i - {r}) + 1"))
+    digest = q.sha(" || '#' || ".join(map(frame, (5, 10, 30))))
+    frames = q.bind("ws", "v", q.each(q.range(1, q.size("v")), "i", f"{frame(2)} || '#' || {digest}"))
+    return f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, f AS frame FROM {q.unnest('doc_id', f'(SELECT doc_id, {q.words("text")} AS ws FROM {q.t("documents")}) z', frames, 'f')} x"
 
 
 @sql("wn_03")
 def word_ngrams(q: Dialect) -> str:
+    """All 4-grams, how many are different, and the first of them by name; the set of them is made once."""
     grams = q.bind("ws", "v", q.each(q.range(1, f"{q.size('v')} - 3"), "i", q.join(q.slice("v", "i", 4))))
-    return f"WITH {_docs(q)}, g AS (SELECT doc_id, {grams} AS grams FROM d) SELECT doc_id, {q.size('grams')} AS n, {q.size(q.distinct('grams'))} AS distinct_n, {q.at(q.distinct('grams'), 1)} AS first_gram FROM g"
+    different, least = q._("array_distinct(grams)", "list_distinct(grams)"), q._("array_min(grams)", "list_min(grams)")
+    return f"WITH {_docs(q)}, g AS (SELECT doc_id, {grams} AS grams FROM d) SELECT doc_id, {q.size('grams')} AS n, {q.size(different)} AS distinct_n, {least} AS first_gram FROM g"
 
 
 @sql("wn_04")
@@ -68,6 +73,25 @@ def islands(q: Dialect) -> str:
         SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(a) AS first_word, max(b) AS last_word, count(*) AS spans FROM g GROUP BY l_orderkey, island"""
 
 
+@sql("wn_10")
+def repeat_runs(q: Dialect) -> str:
+    """Whether a phrase of two to eight words stands three times in a row: a stretch of twice its length equals the one that begins a
+    phrase later."""
+    again = lambda n: f"{q.size(q.keep(q.range(1, f'{q.size("v")} - {3 * n - 1}'), 'i', f'{q.slice("v", "i", 2 * n)} = {q.slice("v", f"i + {n}", 2 * n)}'))} > 0"
+    return f"WITH {_docs(q)} SELECT doc_id, {q.bind('ws', 'v', ' OR '.join(map(again, range(2, 9))))} AS repeats FROM d"
+
+
+@sql("wn_11")
+def adjacent_spans(q: Dialect) -> str:
+    """How many spans of one to three words equal the one right before or right after them."""
+    def same(n: int) -> str:
+        own = q.slice("v", "i", n)
+        before, after = f"i > {n} AND {own} = {q.slice('v', f'greatest(i - {n}, 1)', n)}", f"i + {2 * n - 1} <= {q.size('v')} AND {own} = {q.slice('v', f'i + {n}', n)}"
+        return q.size(q.keep(q.range(1, f"{q.size('v')} - {n - 1}"), "i", f"({before}) OR ({after})"))
+
+    return f"WITH w AS (SELECT conv_id AS episode_key, turn AS id, {q.words('text')} AS ws FROM {q.t('conversations')}) SELECT episode_key, id, {q.bind('ws', 'v', ' + '.join(map(same, (1, 2, 3))))} AS duplicates FROM w"
+
+
 @sql("wn_12")
 def chunks(q: Dialect) -> str:
     """25 words a chunk; windows of 2,000 characters."""
@@ -88,19 +112,22 @@ def intersections(q: Dialect) -> str:
 
 @sql("st_03")
 def tag_transition(q: Dialect) -> str:
-    """Tags less the obsolete ones, with the target."""
-    return f"""WITH t AS (SELECT doc_id, w AS tag FROM {q.unnest("doc_id", f"(SELECT doc_id, {q.words('text')} AS ws FROM {q.t('documents')}) z", q.slice("ws", 1, 6), "w")} x), u AS (SELECT doc_id, tag FROM t EXCEPT SELECT doc_id, 'the' FROM {q.t("documents")} UNION SELECT doc_id, lang FROM {q.t("documents")})
-        SELECT doc_id, {q.sorted_list("tag")} AS tags FROM u GROUP BY doc_id"""
+    """A text's distinct words as tags: less the obsolete ones, with the target."""
+    return f"""WITH t AS (SELECT DISTINCT doc_id, w AS tag FROM {q.unnest("doc_id", f"(SELECT doc_id, {q.words('text')} AS ws FROM {q.t('documents')}) z", "ws", "w")} x), u AS (SELECT doc_id, tag FROM t WHERE tag NOT IN ('the', 'of', 'and') UNION SELECT doc_id, coalesce(lang, 'none') FROM {q.t("documents")})
+        SELECT doc_id, count(*) AS n, {q.sha(q.sorted_list("tag"))} AS tags FROM u GROUP BY doc_id"""
 
 
 @sql("st_04")
 def ordered_distinct(q: Dialect) -> str:
-    """Distinct words without regard to case, in the order and form of their first occurrence."""
+    """Distinct words without regard to case, in the order and form of their first occurrence. In Spark inside the row: distinct forms
+    keep their order, and of those that differ in case the first stays."""
     parts = q.keep(q.split(q.rr("text", "[^A-Za-z]+", " "), " "), "w", "w <> ''")
-    pick = q.argmin("w", ["pos"])
-    order = q._("array_join(transform(sort_array(collect_list(struct(pos, w))), x -> x.w), ' ')", "string_agg(w, ' ' ORDER BY pos)")
-    return f"""WITH p AS (SELECT doc_id, lower(w) AS k, {pick} AS w, min(pos) AS pos FROM {q.unnest("doc_id", f"(SELECT doc_id, {parts} AS ws FROM {q.t('documents')}) z", "ws", "w")} x GROUP BY doc_id, lower(w))
-        SELECT doc_id, count(*) AS forms, {order} AS words FROM p GROUP BY doc_id"""
+    if q.spark:
+        first = "filter(f, (w, i) -> array_position(k, lower(w)) = i + 1)"
+        kept = f"element_at(transform(array(array_distinct(ws)), f -> element_at(transform(array(transform(f, w -> lower(w))), k -> {first}), 1)), 1)"
+        return f"SELECT doc_id, CAST(size(a) AS BIGINT) AS forms, array_join(a, ' ') AS words FROM (SELECT doc_id, {kept} AS a FROM (SELECT doc_id, {parts} AS ws FROM {q.t('documents')}) z) y WHERE size(a) > 0"
+    return f"""WITH p AS (SELECT doc_id, lower(w) AS k, {q.argmin("w", ["pos"])} AS w, min(pos) AS pos FROM {q.unnest("doc_id", f"(SELECT doc_id, {parts} AS ws FROM {q.t('documents')}) z", "ws", "w")} x GROUP BY doc_id, lower(w))
+        SELECT doc_id, count(*) AS forms, string_agg(w, ' ' ORDER BY pos) AS words FROM p GROUP BY doc_id"""
 
 
 @sql("sc_01")
@@ -147,6 +174,60 @@ def proper_names(q: Dialect) -> str:
     return f"""SELECT doc_id, {q.rx("text", "(^|[^A-Za-z.])[A-Z][a-z]+ [A-Z][a-z]+")} AND text NOT LIKE '%.%' AS two_titles, {q.rx("text", f"(^| )({HONORIFICS})[.]? [A-Z][a-z]+")} AS honorific, {q.rx("text", "(^|[^A-Za-z])[A-Z]{3,}($|[^A-Za-z])")} AS capitals FROM {q.t("documents")}"""
 
 
+def _spaced(q: Dialect, words: str) -> str:
+    """Words in one line, each with a space of its own on both sides."""
+    return f"' ' || {q.join(words, '  ')} || ' '"
+
+
+@sql("sc_15")
+def filler_free(q: Dialect) -> str:
+    """Words, and those left without fillers and filler phrases."""
+    fillers = "|".join([*("  ".join(p) for p in sorted(FILLER_PHRASES)), *sorted(FILLERS)])
+    left = q.keep(q.split(q.rr(_spaced(q, "ws"), f" ({fillers}) ", ""), " "), "w", "w <> ''")
+    return f"WITH w AS (SELECT conv_id AS episode_key, turn AS id, {q.words(f"replace(replace(text, ' the ', ' you know '), ' of ', ' um ')")} AS ws FROM {q.t('conversations')}) SELECT episode_key, id, {q.size('ws')} AS n_words, {q.size(left)} AS n_kept FROM w"
+
+
+@sql("sc_18")
+def colloquial_only(q: Dialect) -> str:
+    """Whether two readings differ only in colloquial forms: both in full are the same."""
+    def full(x: str) -> str:
+        for short, long in COLLOQUIAL.items():
+            x = f"replace({x}, ' {short} ', ' {long.replace(' ', '  ')} ')"
+        return x
+
+    a, b = (f"replace(replace(text, ' the ', ' {x} '), ' of ', ' {y} ')" for x, y in (("gonna", "because"), ("going to", "cuz")))
+    return f"""WITH w AS (SELECT conv_id AS episode_key, turn AS id, {q.words(a)} AS a, {q.words(f"CASE WHEN turn % 3 = 0 THEN replace({b}, ' and ', ' or ') ELSE {b} END")} AS b FROM {q.t("conversations")})
+        SELECT episode_key, id, {full(_spaced(q, "a"))} = {full(_spaced(q, "b"))} AS same FROM w"""
+
+
+@sql("sc_21")
+def quantity_ranges(q: Dialect) -> str:
+    """Numbers and ranges with their ends; a range that falls is none."""
+    number = "[0-9]+([.][0-9]+)?"
+    found = q.find_all("text", "[0-9]+(?:[.][0-9]+)?(?: *(?:-|to) *[0-9]+(?:[.][0-9]+)?)?")
+    value = lambda x: f"TRY_CAST({x} AS DECIMAL(38,6))"
+    return f"""WITH m AS (SELECT doc_id, m FROM {q.unnest("doc_id", q.t("documents"), found, "m")} x), r AS (SELECT doc_id, {q.find("m", f"^{number}")} AS low, {q.find("m", f"{number}$")} AS high FROM m)
+        SELECT doc_id, low, high FROM r WHERE {value("low")} <= {value("high")}"""
+
+
+@sql("tk_06")
+def coverage_candidates(q: Dialect) -> str:
+    """Long words of a turn, the longest kind first, then in order; the first forty."""
+    return f"""WITH s AS (SELECT episode_key, id, lower(t) AS term, row_number() OVER (PARTITION BY episode_key, id ORDER BY CASE WHEN length(t) > 12 THEN 0 ELSE 1 END, pos) AS place, count(*) OVER (PARTITION BY episode_key, id) AS total
+        FROM {q.unnest("episode_key, id", f"(SELECT conv_id AS episode_key, turn AS id, text FROM {q.t('conversations')}) c", q.find_all("text", "[A-Za-z]{9,}"), "t")} x)
+        SELECT episode_key, id, total, place, term FROM s WHERE place <= 40"""
+
+
+@sql("jn_14")
+def coverage_gaps(q: Dialect) -> str:
+    """Long words of one reading, and those that the other one lacks within eight words of their place."""
+    turns = f"(SELECT conv_id AS episode_key, turn AS id, {q.words('text')} AS a, {q.words(q.rr('text', ' [b-z]*a[b-z]*', ' '))} AS b FROM {q.t('conversations')}) c"
+    side = lambda c, name: f"{name} AS (SELECT episode_key, id, pos, w FROM {q.unnest('episode_key, id', turns, c, 'w')} x WHERE length(w) >= 9)"
+    return f"""WITH {side("a", "spots")}, {side("b", "placed")},
+        met AS (SELECT DISTINCT s.episode_key, s.id, s.pos FROM spots s JOIN placed p ON p.episode_key = s.episode_key AND p.id = s.id AND p.w = s.w AND abs(p.pos - s.pos) <= 8)
+        SELECT s.episode_key, s.id, count(*) AS spots, count_if(m.pos IS NULL) AS uncovered FROM spots s LEFT JOIN met m ON m.episode_key = s.episode_key AND m.id = s.id AND m.pos = s.pos GROUP BY s.episode_key, s.id"""
+
+
 @sql("sc_16")
 def foreign_language(q: Dialect) -> str:
     """A fifth of 25 words or more that are foreign function words."""
@@ -279,15 +360,13 @@ def term_observations(q: Dialect) -> str:
         SELECT lower(trim(form)) AS term, provenance, count(*) AS observations, count(DISTINCT episode_key) AS episodes, min(category) AS category FROM o WHERE length(form) <= 120 GROUP BY lower(trim(form)), provenance"""
 
 
-@sql("src_04")
 def feed_entries(q: Dialect) -> str:
     """A page's first heading and its identity: the first of several that is there."""
     return f"SELECT page_id, {q.find('html', '<h1>([^<]*)</h1>', 1)} AS title, coalesce(NULLIF({q.find('url', '([0-9]+)', 1)}, ''), url) AS guid FROM {q.t('pages')}"
 
 
-@sql("src_07")
 def word_metadata(q: Dialect) -> str:
     """Words with their own log-probability, else the segment's, else that of their probability; what isn't a number is null."""
     k = q.json_int("props", "k")
     return f"""WITH w AS (SELECT event_id, CASE WHEN {k} % 3 = 0 THEN -value / 100 END AS own, CASE WHEN {k} % 3 = 1 THEN -value / 200 END AS seg, CASE WHEN {k} % 5 = 0 THEN NULL ELSE value / 500 END AS prob FROM {q.t("events")})
-        SELECT event_id, round(coalesce(own, seg, ln(greatest(prob, 1e-12))), 6) AS logprob, CASE WHEN own IS NOT NULL THEN 'word' WHEN seg IS NOT NULL THEN 'segment' WHEN prob IS NOT NULL THEN 'probability' END AS origin FROM w"""
+        SELECT event_id, round(coalesce(own, seg, CASE WHEN prob IS NOT NULL THEN ln(greatest(prob, 1e-12)) END), 6) AS logprob, CASE WHEN own IS NOT NULL THEN 'word' WHEN seg IS NOT NULL THEN 'segment' WHEN prob IS NOT NULL THEN 'probability' END AS origin FROM w"""

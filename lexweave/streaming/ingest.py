@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -12,13 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ledger
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set: streams keep their offsets and state there")
-    return folder.rstrip("/")
+from ..sources.shared import fresh_folder
 
 
 def ingest(spark: SparkSession, path: str, schema: T.StructType, key: str, valid: str, target: str | None = None, glob: str = "*") -> DataFrame:
@@ -28,7 +21,7 @@ def ingest(spark: SparkSession, path: str, schema: T.StructType, key: str, valid
     seen again, a batch that runs again, a repeated key and a second call change nothing. Rows with a null key count as one key. One
     stream at a time may write to a target; the checkpoint's log makes a second one fail. Returns the table.
     """
-    target = target or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    target = target or fresh_folder(spark, "ingest")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
     taken = stream.filter(valid).dropDuplicates([key])
     taken.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{target.rstrip('/')}-offsets").trigger(availableNow=True).start().awaitTermination()
