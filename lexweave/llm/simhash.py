@@ -32,7 +32,13 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
         starts = np.concatenate(([0], ends[: len(found) - words] + 1))
         hashes = [h(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
-    values = np.array(hashes, np.uint64)
+    return bits_of(np.array(hashes, np.uint64))
+
+
+def bits_of(values: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit values; none of no value."""
+    if not len(values):
+        return 0
     chunks = np.arange(0, len(values), 255)
     counts = np.zeros(64, np.int64)
     for bit in range(8):

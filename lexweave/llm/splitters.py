@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: Key samples drawn for each range; ranges are planned for so many rows, between the two bounds. What the driver gathers is
 #: SAMPLES_PER_RANGE * MOST_RANGES keys at most (expected), whatever the input's size.
-SAMPLES_PER_RANGE, ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 20, 2_000, 256, 8_192
+SAMPLES_PER_RANGE, ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 20, 500, 1_024, 32_768
 #: A range of more than so many times the mean cost is subdivided, in so many rounds at most.
 OVERFULL, ROUNDS = 2.5, 3
 
@@ -20,13 +20,16 @@ def _order(key: tuple) -> tuple:
     return tuple((v is not None, v.encode() if isinstance(v, str) else v) for v in key)
 
 
+def _literal(key: list[str], schema: T.StructType, splitters: list[tuple]) -> Column:
+    fields = T.StructType([T.StructField(c, schema[c].dataType) for c in key])
+    return F.from_json(F.lit(json.dumps([dict(zip(key, s, strict=True)) for s in splitters])), T.ArrayType(fields))
+
+
 def range_of(key: list[str], schema: T.StructType, splitters: list[tuple]) -> Column:
     """How many splitters are at or below the row's key: a binary search inside one expression, without a join."""
     if not splitters:
         return F.lit(0)
-    fields = T.StructType([T.StructField(c, schema[c].dataType) for c in key])
-    literal = json.dumps([dict(zip(key, s, strict=True)) for s in splitters])
-    known = F.from_json(F.lit(literal), T.ArrayType(fields))
+    known = _literal(key, schema, splitters)
     steps = [1 << b for b in reversed(range(len(splitters).bit_length()))]
     own = F.struct(*[F.col(c) for c in key])
     return F.aggregate(
@@ -36,6 +39,16 @@ def range_of(key: list[str], schema: T.StructType, splitters: list[tuple]) -> Co
     )
 
 
+def cut_by_splitter(key: list[str], schema: T.StructType, splitters: list[tuple]) -> Column:
+    """Whether a splitter agrees with the row in these first columns of its key, so that rows equal in them may lie in several ranges."""
+    found = sorted({s[: len(key)] for s in splitters}, key=_order)
+    if not found:
+        return F.lit(False)
+    own = F.struct(*[F.col(c) for c in key])
+    at = range_of(key, schema, found)
+    return F.coalesce(F.when(at > 0, F.try_element_at(_literal(key, schema, found), at).eqNullSafe(own)), F.lit(False))
+
+
 def plan_ranges(keyed: DataFrame, key: list[str], cost: str, seed: int = 11) -> list[tuple]:
     """Splitters for ``keyed``: its columns ``key`` and the positive column ``cost``.
 

@@ -48,6 +48,24 @@ def test_carry_keeps_clashing_columns(docs):
     assert got.columns == docs.columns and got.filter("rng = 'clash'").count() == got.count()
 
 
+def test_carry_keeps_null_texts(docs):
+    got = exact_dedup.exact_groups(docs, carry=["kept"]).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["row"]["kept"]) for r in got) == sorted((str(i), str(t), k) for i, t, _, k in ROWS)
+
+
+def test_texts_alike_at_their_start(spark, monkeypatch):
+    """One beginning for all rows, so that only hashes and ids can cut ranges; some of the groups are larger than a range."""
+    monkeypatch.setattr(splitters, "LEAST_RANGES", 40)
+    head = "license " * 8
+    rows = [(i, head + (f"one {i % 5}" if i % 2 else f"other {i // 4}")) for i in range(600)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep="smallest").collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    of = dict(rows)
+    assert all((r["group_size"], r["keep_id"], r["kept"]) == (len(groups[of[r["doc_id"]]]), min(groups[of[r["doc_id"]]]), r["doc_id"] == min(groups[of[r["doc_id"]]])) for r in got) and len(got) == 600
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(none).count() == 0
