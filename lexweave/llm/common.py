@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. One of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. One of our own only where it is unset and all tasks run in
+    the driver's process, as in tests; on a cluster an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,9 +41,13 @@ def materialise(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataF
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches small enough that a batch of long texts fits a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches small enough that a batch of long texts fits a worker's memory. The setting belongs to the session, as Spark reads it
+    when a query runs; smaller ones that the user has set stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

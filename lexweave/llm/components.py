@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Rounds grow with the logarithm of the longest chain; a table that takes more than these isn't settled, which is an error.
 ROUNDS_MOST = 60
 
 
@@ -37,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
-    for _ in range(ROUNDS_MOST):
+    for round_ in range(ROUNDS_MOST + 1):
+        if round_ == ROUNDS_MOST:
+            raise RuntimeError(f"links have not settled after {ROUNDS_MOST} rounds")
         edges = materialise(_small(_large(edges)), "stars")
         # two rounds with the same links: only stars are left
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -16,11 +16,12 @@ from .common import bounded_batches, slices
 
 #: Hash buckets, embedding width, subword lengths in bytes.
 BUCKETS, WIDTH, LENGTHS = 1 << 15, 16, (3, 4)
-#: The model is fitted on so many labelled rows of each language at most (expected), drawn by a hash of the id; whole texts.
-TRAIN_ROWS_PER_LANG, LANGS_MOST = 600, 200
+#: The model is fitted on so many labelled rows of each language, and so many of all, at most (expected), drawn by a hash of the id; whole texts.
+TRAIN_ROWS_PER_LANG, TRAIN_ROWS_MOST = 600, 120_000
 EPOCHS, STEPS_LEAST, RATE, SEED = 6, 12_000, 40.0, 5
-#: Of the calibration rows (a fifth of the sample) that are predicted rightly, so many may fall under the threshold.
-FALSE_REJECTION, THRESHOLD_MOST = 0.001, 0.4
+#: Rejection: each of so many languages is left out once of a model of fewer steps, which sees its texts as foreign ones. The threshold
+#: rejects this share of them, but is no higher than this part of what the worst rightly predicted calibration row scores.
+FOLDS, FOLD_STEPS, FOREIGN_REJECTED, OWN_MARGIN = 8, 4_000, 0.75, 0.8
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,9 +65,12 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: Which buckets the training rows have, and the least share of a text's subwords that must fall on them.
+    seen: np.ndarray
+    seen_least: float = 0.0
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Calibrated probabilities, a row for each text."""
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, a row for each text, and the share of its subwords that training rows have."""
         ids, owner = subwords(texts)
         sums = np.zeros((len(texts), len(self.langs)))
         for j in range(len(self.langs)):
@@ -74,41 +78,61 @@ class LanguageModel:
         counts = np.bincount(owner, minlength=len(texts))
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True), np.bincount(owner, weights=self.seen[ids], minlength=len(texts)) / np.maximum(counts, 1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text. Null, or no letter: ``und``, 0, rejected."""
         out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, True)] * len(texts)
         at = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
         for a, b in slices([len(texts[i]) for i in at]):
-            p = self.scores([texts[i] for i in at[a:b]])
-            for i, row, best in zip(at[a:b], p, p.argmax(axis=1), strict=True):
-                out[i] = (self.langs[best], float(row[best]), bool(row[best] < self.threshold))
+            p, seen = self.scores([texts[i] for i in at[a:b]])
+            for i, row, best, share in zip(at[a:b], p, p.argmax(axis=1), seen, strict=True):
+                out[i] = (self.langs[best], float(row[best]), bool(row[best] < self.threshold or share < self.seen_least))
         return out
 
 
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
     """Fit on (text, language) rows; a fifth of them calibrates. No row: a model that rejects everything."""
     rows = sorted((lang, t) for t, lang in rows if t and _LETTER.search(t))
     langs = sorted({lang for lang, _ in rows})
     if not langs:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    rng = np.random.default_rng(SEED)
-    bags = []
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS))
+    bags: list[Bag] = []
     for lang, t in rows:
         ids, n = np.unique(subwords([t])[0], return_counts=True)
         if len(ids):
             bags.append((ids, (n / n.sum()).astype(np.float64), langs.index(lang)))
-    order = rng.permutation(len(bags))
-    held = order[: len(bags) // 5] if len(bags) >= 50 else order[:0]
-    fit = order[len(held) :]
+    order = np.random.default_rng(SEED).permutation(len(bags))
+    held = [bags[i] for i in (order[: len(bags) // 5] if len(bags) >= 50 else order)]
+    fit = [bags[i] for i in (order[len(bags) // 5 :] if len(bags) >= 50 else order)]
+    model = _fit(fit, langs, STEPS_LEAST)
+    z = _logits(model, held)
+    model.temperature = _temperature(z, np.array([b[2] for b in held]))
+    own = _scores(z, model.temperature, np.array([b[2] for b in held]))
+    foreign = _foreign(fit, held, langs)
+    if len(own):
+        least = OWN_MARGIN * float(own.min())
+        model.threshold = min(least, float(np.quantile(foreign, FOREIGN_REJECTED))) if len(foreign) else min(least, 1 / len(langs))
+        # a text of unknown subwords meets as many seen buckets as there are
+        shares = np.array([w @ model.seen[ids] for ids, w, _ in held])
+        model.seen_least = 0.5 * (float(shares.min()) + min(float(shares.min()), float(model.seen.mean()))) * OWN_MARGIN
+    return model
+
+
+def _fit(bags: list[Bag], langs: list[str], least: int) -> LanguageModel:
+    """Embeddings and output weights by stochastic gradient descent over shuffled rows."""
+    rng = np.random.default_rng(SEED + 1)
     emb = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
-    out, bias = np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
-    epochs = max(EPOCHS, STEPS_LEAST // max(len(fit), 1))
-    steps, done = epochs * max(len(fit), 1), 0
+    out, bias, seen = np.zeros((WIDTH, len(langs))), np.zeros(len(langs)), np.zeros(BUCKETS)
+    epochs = max(EPOCHS, least // max(len(bags), 1))
+    steps, done = epochs * max(len(bags), 1), 0
     for _ in range(epochs):
-        for i in rng.permutation(fit):
+        for i in rng.permutation(len(bags)):
             ids, w, y = bags[i]
+            seen[ids] = 1
             mean = w @ emb[ids]
             z = mean @ out + bias
             p = np.exp(z - z.max())
@@ -120,35 +144,50 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
             bias -= 0.05 * rate * p
             emb[ids] -= rate * RATE * w[:, None] * step
             done += 1
-    model = LanguageModel(langs, (emb @ out).astype(np.float32), bias, 1.0, 0.0)
-    return calibrate(model, [bags[i] for i in (held if len(held) else fit)])
+    return LanguageModel(langs, (emb @ out).astype(np.float32), bias, 1.0, 0.0, seen)
 
 
-def calibrate(model: LanguageModel, bags: list) -> LanguageModel:
-    """Choose the temperature of least log loss, then the rejection threshold.
+def _logits(model: LanguageModel, bags: list[Bag]) -> np.ndarray:
+    return np.array([w @ model.table[ids] + model.bias for ids, w, _ in bags]).reshape(len(bags), len(model.langs))
 
-    Targets are smoothed by one row in n + 2, so that a sample without an error doesn't call for boundless confidence.
-    """
-    z = np.array([w @ model.table[ids] + model.bias for ids, w, _ in bags])
-    y = np.array([lang for _, _, lang in bags])
 
-    def probabilities(t: float) -> np.ndarray:
-        e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
-        return e / e.sum(axis=1, keepdims=True)
+def _probabilities(z: np.ndarray, t: float) -> np.ndarray:
+    e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least log loss. Targets are smoothed by one row in n + 2, so that a sample without an error doesn't call for
+    boundless confidence."""
 
     def loss(t: float) -> float:
-        logs = -np.log(np.maximum(probabilities(t), 1e-300))
+        logs = -np.log(np.maximum(_probabilities(z, t), 1e-300))
         smooth = 1 / (len(y) + 2)
         return float((1 - smooth) * logs[np.arange(len(y)), y].mean() + smooth * logs.mean())
 
-    model.temperature = min((float(t) for t in np.geomspace(0.01, 10, 80)), key=loss)
-    p = probabilities(model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    if len(right):
-        # Half the least score that the quantile meets: a margin for texts of a few words.
-        model.threshold = min(THRESHOLD_MOST, 0.5 * float(right[int(FALSE_REJECTION * len(right))]) + 0.5 / len(model.langs))
-        model.threshold = min(model.threshold, float(right[int(FALSE_REJECTION * len(right))]))
-    return model
+    return min((float(t) for t in np.geomspace(0.01, 10, 80)), key=loss)
+
+
+def _scores(z: np.ndarray, t: float, y: np.ndarray) -> np.ndarray:
+    """The best probabilities of rightly predicted rows."""
+    p = _probabilities(z, t)
+    return p.max(axis=1)[p.argmax(axis=1) == y]
+
+
+def _foreign(fit: list[Bag], held: list[Bag], langs: list[str]) -> np.ndarray:
+    """What texts score that no label of a model is right for: of each language by a model without it. Needs three languages."""
+    found = []
+    for gone in range(len(langs)) if len(langs) >= 3 else ():
+        if gone * FOLDS // len(langs) == (gone - 1) * FOLDS // len(langs) and gone:
+            continue  # of many languages FOLDS are left out
+        rest = [(ids, w, y - (y > gone)) for ids, w, y in fit if y != gone]
+        known = [(ids, w, y - (y > gone)) for ids, w, y in held if y != gone]
+        out = [b for b in held if b[2] == gone]
+        if rest and known and out:
+            model = _fit(rest, langs[:gone] + langs[gone + 1 :], FOLD_STEPS)
+            t = _temperature(_logits(model, known), np.array([b[2] for b in known]))
+            found.append(_probabilities(_logits(model, out), t).max(axis=1))
+    return np.concatenate(found) if found else np.zeros(0)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -156,16 +195,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on rows with a label that are not held out: TRAIN_ROWS_PER_LANG of each language, drawn by a hash of the id."""
+    """Train on rows with a label that are not held out, drawn by a hash of the id: TRAIN_ROWS_PER_LANG of each language, fewer of each if
+    all languages together would have more than TRAIN_ROWS_MOST. Every language that is drawn is learned."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS_MOST).collect()
-    if not counts:
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("language"), F.col(id_col)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.count()
+    if not langs:
         return train([])
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang_col) == r[lang_col], F.lit(TRAIN_ROWS_PER_LANG / r["count"])).otherwise(rate)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    sample = rows.filter(u < rate).select(text_col, lang_col).collect()
+    each = min(TRAIN_ROWS_PER_LANG, TRAIN_ROWS_MOST / langs)
+    u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    sample = rows.join(counts, "lang").filter(u * F.col("n") < each).select("text", "lang").collect()
     return train([(r[0], r[1]) for r in sample])
 
 

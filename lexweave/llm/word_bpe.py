@@ -130,18 +130,24 @@ def compile_lexicon(path: str) -> bytes:
     return lexicon.to_bytes(lexicon.build((w, merges.ids(w)) for w in words))
 
 
+#: Names of lexicons that an application has handed out.
+_PUBLISHED: set[tuple[str, str]] = set()
+
+
 def publish_lexicon(spark: SparkSession, path: str) -> str:
-    """Compile, write a file and have Spark hand it to every executor. Returns its name there."""
+    """Compile, write a file and have Spark hand it to every executor. Returns its name there.
+
+    The file is written once for an application, to a folder of this process's own; executors fetch it from the driver.
+    """
     raw = compile_lexicon(path)
-    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:16]}.bin"
-    folder = os.path.join(tempfile.gettempdir(), "lexweave-files")
-    os.makedirs(folder, exist_ok=True)
-    local = os.path.abspath(os.path.join(folder, name))
-    if not os.path.exists(local):
-        with open(f"{local}.{os.getpid()}", "wb") as f:
+    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:32]}.bin"
+    key = spark.sparkContext.applicationId, name
+    if key not in _PUBLISHED:
+        local = os.path.join(tempfile.mkdtemp(prefix="lexweave-"), name)
+        with open(local, "wb") as f:
             f.write(raw)
-        os.replace(f"{local}.{os.getpid()}", local)
-    spark.sparkContext.addFile(local)
+        spark.sparkContext.addFile(local)
+        _PUBLISHED.add(key)
     return name
 
 

@@ -66,6 +66,33 @@ def test_held_out_language(spark):
     assert all(0 <= g[1] <= 1 for g in got)
 
 
+FOREIGN = [
+    "Gallia est omnis divisa in partes tres quarum unam incolunt Belgae", "Привет как дела сегодня хорошая погода на улице", "今日は天気がいいですね、散歩に行きましょう", "오늘은 날씨가 아주 좋습니다",
+    "Dzisiaj jest bardzo ładna pogoda i idziemy na spacer do parku", "Bugün hava çok güzel ve parka yürüyüşe gidiyoruz", "Tänään on hyvin kaunis ilma ja menemme kävelylle puistoon", "Ma nagyon szép idő van és sétálni megyünk a parkba",
+    "Dnes je velmi hezké počasí a jdeme na procházku do parku", "Hari ini cuacanya sangat bagus dan kami pergi berjalan kaki", "Hôm nay thời tiết rất đẹp và chúng tôi đi dạo trong công viên", "اليوم الطقس جميل جدا ونحن ذاهبون للتنزه",
+    "היום מזג האוויר יפה מאוד ואנחנו הולכים לטייל", "आज मौसम बहुत अच्छा है और हम टहलने जा रहे हैं", "Σήμερα ο καιρός είναι πολύ ωραίος και πάμε βόλτα", "Leo hali ya hewa ni nzuri sana na tunaenda kutembea",
+    "xqzv wkjf plmk zzrt qqpw vbnm", "lorem ipsum dolor sit amet consectetur adipiscing elit", "jjkw qxzz vvkp wqjx zkqv", "Gaur eguraldi oso ona egiten du eta parkera goaz",
+]
+
+
+def test_foreign_lines_are_rejected(spark):
+    model = language.fit_language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    rejected = [g[2] for g in model.predict(FOREIGN)]
+    assert sum(rejected) >= 0.75 * len(FOREIGN)
+    for line in ("The cat sits on the mat and the dog runs in the park", "Le chat est assis sur le tapis et le chien court dans le parc", "Der Hund läuft durch den Park und die Katze ist auf der Matte"):
+        assert not model.predict([line])[0][2]
+
+
+def test_scripts_are_told_apart_from_one_learned_language():
+    model = language.train([(f"the cat number {i} is on the mat and it is here", "en") for i in range(80)])
+    assert [g[2] for g in model.predict(["the cat is here", FOREIGN[1], FOREIGN[2]])] == [False, True, True]
+
+
+def test_every_language_is_learned():
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + k % 7)} word{chr(97 + k // 26)}{chr(97 + k % 26)} " * 4, f"l{k:03}") for k in range(250) for _ in range(2)]
+    assert len(language.train(rows).langs) == 250
+
+
 def test_language_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, lang, 1) for i, (t, lang) in enumerate([("le chat est la", "fr"), ("the cat is here", "en")] * 30 + [(None, None), ("", "en"), ("123 !!", "fr")])], "doc_id long, text string, lang string, lang_pred int")
     model = language.fit_language_model(docs)
@@ -107,3 +134,15 @@ def test_packing_round_trip(spark, parts, fan_in):
         short += total <= 1024 - packing.CUT_LEAST
     assert short <= 1
     assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_word_ids_of_odd_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Hello World", "x"), (3, "Hello World", "x"), (None, "ß Straße", "x"), (4, "word " * 30_000, "x")], "doc_id long, text string, ids string")
+    theirs, got = Tokenizer.from_file(path), word_bpe.encode_words(docs, path).collect()
+    assert len(got) == 6
+    of = {1: "", 2: "", 3: "Hello World", None: "ß Straße", 4: "word " * 30_000}
+    for r in got:
+        ids = theirs.encode(of[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], bytes(r["ids"]), r["decoded"]) == (len(ids), np.array(ids, "<u4").tobytes(), theirs.decode(ids, skip_special_tokens=False))
+    assert word_bpe.encode_words(docs.limit(0), path).count() == 0
