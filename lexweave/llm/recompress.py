@@ -6,6 +6,7 @@ words that decided on it; wherever this range occurs, in any text, the same symb
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,17 +17,34 @@ ROUNDS = 6
 CACHE_MOST = 400_000
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_BASES = [(b, U(pow(int(b), -1, 1 << 64))) for b in (_BASE, U(0xD1342543DE82EF95))]
 
 
 class WordNames(dict):
-    """Names of words, kept for the first CACHE_MOST of them."""
+    """Places of words in two tables of names, which are hashes with different seeds. The first CACHE_MOST words stay; others are named
+    anew for each call."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.known = np.zeros((2, CACHE_MOST), U)
+        self.passing: list[tuple[int, int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        name = xxhash.xxh64_intdigest(word, 1)
-        if len(self) < CACHE_MOST:
-            self[word] = name
-        return name
+        names = xxhash.xxh64_intdigest(word, 1), xxhash.xxh3_64_intdigest(word, 2)
+        at = len(self)
+        if at < CACHE_MOST:
+            self.known[:, at] = names
+            self[word] = at
+            return at
+        self.passing.append(names)
+        return CACHE_MOST + len(self.passing) - 1
+
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        """Both names of each word."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        table = np.concatenate((self.known, np.array(self.passing, U).T), axis=1) if self.passing else self.known
+        self.passing.clear()
+        return table[:, at]
 
 
 _NAMES = WordNames()
@@ -43,28 +61,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of some texts, one after another: names, the text of each, where its text begins and ends."""
 
-    name: np.ndarray
+    names: np.ndarray
     text: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     first: np.ndarray
 
     def __post_init__(self) -> None:
-        powers = np.full(len(self.name) + 1, _BASE, U)
-        inverses = np.full(len(self.name) + 1, _INVERSE, U)
-        powers[0] = inverses[0] = 1
-        powers, self._inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
-        self._sums = np.concatenate((np.zeros(1, U), np.cumsum(self.name * powers[:-1], dtype=U)))
+        self._sums, self._inverse = [], []
+        for name, (base, inverse) in zip(self.names, _BASES, strict=True):
+            powers, inverses = np.full(len(name) + 1, base, U), np.full(len(name) + 1, inverse, U)
+            powers[0] = inverses[0] = 1
+            powers, inverses = np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
+            self._sums.append(np.concatenate((np.zeros(1, U), np.cumsum(name * powers[:-1], dtype=U))))
+            self._inverse.append(inverses)
+
+    @property
+    def name(self) -> np.ndarray:
+        return self.names[0]
 
-    def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A hash of the words from ``a`` to ``b``, wherever they stand."""
-        return mix((self._sums[b] - self._sums[a]) * self._inverse[a] + (b - a).astype(U))
+    def digest(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        """A hash of the words from ``a`` to ``b``, wherever they stand; hashes of different ``which`` have nothing in common."""
+        return mix((self._sums[which][b] - self._sums[which][a]) * self._inverse[which][a] + (b - a).astype(U))
 
 
 def read_words(texts: list[str | None]) -> Words:
     split = [(t or "").encode("utf-8").split() for t in texts]
     size = np.array([len(s) for s in split], np.int64)
-    name = np.fromiter((n for s in split for n in map(_NAMES.__getitem__, s)), U, int(size.sum()))
+    name = _NAMES.of((w for s in split for w in s), int(size.sum()))
     text = np.repeat(np.arange(len(split)), size)
     first = np.cumsum(size) - size
     return Words(name, text, first[text], (first + size)[text], first)
@@ -182,5 +206,5 @@ def anchors(words: Words, window: int, rounds: int = ROUNDS) -> Anchors:
     start = np.where(alone, first, symbols.start[np.maximum(symbol, 0)])
     core = words.digest(np.where(alone, first, np.where(late, start - half, start)), np.where(alone, first, np.where(late, start + 1, start + window - half + 1)))
     key = np.where(alone, mix(own ^ U(0xF00D)), mix(symbols.name[np.maximum(symbol, 0)] + mix(core + late.astype(U))))
-    context = np.where(alone, U(0), mix(words.digest(first, last + window) ^ mix((start - first).astype(U) + U(0xC0))))
+    context = np.where(alone, words.digest(first, first + window, 1), mix(words.digest(first, last + window, 1) ^ mix((start - first).astype(U) + U(0xC0))))
     return Anchors(key, context, first, last)

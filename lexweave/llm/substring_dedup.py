@@ -103,7 +103,7 @@ def _single_windows(asked: DataFrame, window: int) -> DataFrame:
                     at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                     begin = at + int(words.first[i])
                     keys.append(np.repeat(key, size))
-                    hashes.append(words.digest(begin, begin + window))
+                    hashes.append(words.digest(begin, begin + window, 1))
                     docs.append(np.full(len(at), ids[a + i], np.int64))
                     spans.append(_pack(at, np.zeros_like(at), np.full_like(at, check)))
                 if keys:
@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     """What a smaller document has too, as (id, span) rows: whole intervals, and single windows. ``docs``: id (long, not null), text.
 
     1. Recompression puts every window into the interval of its anchor symbol. Intervals equal in symbol and in all words around it are
-       settled at once: all but the smallest document's are covered.
+       settled at once: all but the smallest document's are covered. The symbol's name and the hash of the words come from two
+       hashes of each word with different seeds, so what is taken for equal agrees in 128 bits that have nothing in common.
     2. A symbol that stands in different contexts may still share some windows. For one document of each such context (its
        smallest) the interval's windows are compared one by one.
     """
