@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from .common import bounded_batches, slices
 from .pii_base import KINDS, base_spans
 
 Span = tuple[str, int, int]
+_ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Versions, decimals, and postal codes with an extension.
+_OTHER_NUMBERS = re.compile(r"v?[0-9]{1,2}(?:\.[0-9]+){2,}|[0-9]+\.[0-9]+|[0-9]{5}-[0-9]{4}")
 #: Signs that belong to the sentence, not to the span, at a found span's ends.
 _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{", ".,;:!?\"'>]}"
 
@@ -45,11 +49,33 @@ def model_spans(model: crf.Crf, texts: list[str]) -> list[list[Span]]:
         piece = texts[i][a:b]
         a += len(piece) - len(piece.lstrip(_TRIM_LEFT))
         b -= len(piece) - len(piece.rstrip(_TRIM_RIGHT))
-        if a < b:
-            out[i].append((crf.LABELS[label], a, b))
+        kind = plausible(crf.LABELS[label], texts[i][a:b])
+        if kind:
+            out[i].append((kind, a, b))
     return out
 
 
+def _is_book_number(digits: str) -> bool:
+    return len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(d) * (1, 3)[i % 2] for i, d in enumerate(digits)) % 10 == 0
+
+
+def plausible(kind: str, piece: str) -> str | None:
+    """The kind that a span found by shapes can be: shapes know no numbers, so an address with a part above 255 is a phone number, if it has
+    as many digits as one, or nothing; numbers of books, versions, decimals and postal codes are nothing."""
+    digits = "".join(c for c in piece if c in "0123456789")
+    if kind == "ip" and not (_ADDRESS.fullmatch(piece) and all(int(p) <= 255 for p in piece.split("."))):
+        kind = "phone"
+    if kind == "phone":
+        return kind if 7 <= len(digits) <= 15 and piece.count(".") <= 4 and not _OTHER_NUMBERS.fullmatch(piece) and not _is_book_number(digits) else None
+    if kind == "card":
+        return kind if 12 <= len(digits) <= 19 and not _is_book_number(digits) else None
+    if kind == "email":
+        return kind if "@" in piece.strip("@") else None
+    if kind == "secret":
+        return kind if len(piece) >= 16 else None
+    return kind if piece else None
+
+
 def all_spans(model: crf.Crf, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text. The model's spans are added where they meet no base span."""
     added = [s for a, b in slices([len(t) for t in texts]) for s in model_spans(model, texts[a:b])]
