@@ -37,10 +37,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's turns as one text, and the same with some words changed."""
-    t = turns(spark, sf_dir).groupBy("episode_key").agg(F.sort_array(F.collect_list(F.struct("id", "apple", "whisper"))).alias("t"))
+    """A conversation's turns as one text, and the same without the first word of each sentence."""
+    t = turns(spark, sf_dir).groupBy("episode_key").agg(F.sort_array(F.collect_list(F.struct("id", "apple"))).alias("t"))
     text = lambda c: F.array_join(F.transform("t", lambda x: x[c]), " ")
-    return t.select("episode_key", F.lit(0).cast("long").alias("id"), text("apple").alias("apple"), text("whisper").alias("whisper"))
+    return t.select("episode_key", F.lit(0).cast("long").alias("id"), text("apple").alias("apple"), F.regexp_replace(text("apple"), r"(?<=[.] )[A-Za-z]+ ", "").alias("whisper"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,17 +292,20 @@ def anchored_window(r) -> Iterable[tuple]:
     return []
 
 
-@rows("jn_19", f"{_KEY}, focus string, place string, n long", episodes)
+@rows("jn_19", f"{_KEY}, focus string, at int, place string, n long", episodes)
 def corroboration(r) -> Iterable[tuple]:
-    """Where a disputed word stands in regions on which both readings agree: before or after the dispute, five at most."""
+    """Where a disputed word stands in regions on which both readings agree: before or after the dispute, the first five."""
     a = tokens.words(r.apple)
     codes = sequences.opcodes(a, tokens.words(r.whisper))
+    agreed: dict[str, list[int]] = {}
+    for t, x1, x2, _, _ in codes:
+        for k in range(x1, x2) if t == "equal" else ():
+            agreed.setdefault(a[k], []).append(k)
     out = []
     for t, i1, i2, _, _ in codes:
-        if t == "equal" or i1 == i2:
-            continue
-        at = [k for s, x1, x2, _, _ in codes if s == "equal" for k in range(x1, x2) if a[k] == a[i1]][:5]
-        out += [(r.episode_key, r.id, a[i1], place, n) for place, n in (("before", sum(k < i1 for k in at)), ("after", sum(k >= i2 for k in at))) if n]
+        if t != "equal" and i1 < i2:
+            found = agreed.get(a[i1], [])[:5]
+            out += [(r.episode_key, r.id, a[i1], i1, place, n) for place, n in (("before", sum(k < i1 for k in found)), ("after", sum(k >= i2 for k in found))) if n]
     return out
 
 

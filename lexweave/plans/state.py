@@ -46,7 +46,7 @@ def bounded_work(q: Dialect) -> str:
         SELECT r.user_id, r.event_id, s.stop_at IS NULL OR r.rn <= s.stop_at AS tried, r.failed AND (s.stop_at IS NULL OR r.rn <= s.stop_at) AS retried FROM r JOIN stop s ON s.user_id = r.user_id"""
 
 
-@query("src_12")
+@query("src_12", "SELECT DISTINCT doc_id, lang, n_chars FROM documents WHERE text IS NOT NULL")
 def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken in through a stream that is safe to repeat; without a shared folder for its offsets, by the same rule in one batch."""
     from ..operators.upsert import insert_absent

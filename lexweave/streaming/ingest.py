@@ -31,32 +31,36 @@ def ingest(spark: SparkSession, path: str, schema: T.StructType, key: str, valid
 _ATTEMPT = T.StructType([T.StructField("usd", T.StringType()), T.StructField("reserved", T.StringType()), T.StructField("third", T.BooleanType()), T.StructField("state", T.StringType())])
 _STATE = T.StructType([T.StructField("attempts", T.MapType(T.StringType(), _ATTEMPT)), T.StructField("total", T.StringType()), T.StructField("third", T.StringType()), T.StructField("locked", T.BooleanType())])
 _OUT = "episode_key long, attempt_id long, outcome string, committed string"
-#: A ledger without a request for so long is closed, and its state dropped.
-CLOSED_AFTER_MS = 30 * 24 * 3600 * 1000
 
 
 def admit(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The batch fold of a ledger, over what has arrived, on state that is kept between batches."""
-    if state.hasTimedOut:
-        state.remove()
-        return
+    """The batch fold of a ledger, over what has arrived, on state that is kept between batches. A request without an amount closes the
+    ledger: its outcome is ``closed``, and its state is dropped."""
     book = ledger.new_state()
     if state.exists:
         attempts, total, third, locked = state.get
         book |= {"attempts": {k: {"usd": Decimal(a[0]), "reserved": Decimal(a[1]), "third": a[2], "state": a[3]} for k, a in attempts.items()}, "total": Decimal(total), "third": Decimal(third), "locked": locked}
     out = []
+    closed = False
     for r in pd.concat(list(frames)).sort_values("attempt_id").itertuples():
+        closed = pd.isna(r.usd)
+        if closed:
+            out.append((key[0], r.attempt_id, "closed", str(ledger.committed(book))))
+            book = ledger.new_state()
+            continue
         got = ledger.reserve(book, [(str(r.attempt_id), Decimal(r.usd), False)], Decimal(0), ledger.CAP * 1000)
         out.append((key[0], r.attempt_id, got, str(ledger.committed(book))))
-    state.update(({k: (str(a["usd"]), str(a["reserved"]), a["third"], a["state"]) for k, a in book["attempts"].items()}, str(book["total"]), str(book["third"]), book["locked"]))
-    state.setTimeoutDuration(CLOSED_AFTER_MS)
+    if closed:
+        state.remove()
+    else:
+        state.update(({k: (str(a["usd"]), str(a["reserved"]), a["third"], a["state"]) for k, a in book["attempts"].items()}, str(book["total"]), str(book["third"]), book["locked"]))
     yield pd.DataFrame(out, columns=["episode_key", "attempt_id", "outcome", "committed"])
 
 
 def admission_stream(requests: DataFrame) -> DataFrame:
-    """A stream of requests (episode_key, attempt_id, usd as text) as a stream of outcomes. A key's state is what its ledger admitted, which
-    the cap bounds for a least price, until it is closed."""
-    return requests.groupBy("episode_key").applyInPandasWithState(admit, _OUT, _STATE, "append", "ProcessingTimeTimeout")
+    """A stream of requests (episode_key, attempt_id, usd as text) as a stream of outcomes. A key's state is what its ledger admitted, until a
+    request without an amount closes it."""
+    return requests.groupBy("episode_key").applyInPandasWithState(admit, _OUT, _STATE, "append", "NoTimeout")
 
 
 def first_notices(events: DataFrame, delay: str = "10 days") -> DataFrame:

@@ -74,3 +74,28 @@ def test_admission_stream_equals_the_fold(spark, tmp_path):
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("episode_key", "outcome").agg(F.count("*").alias("n")).collect()
     assert sorted((r["episode_key"], r["outcome"], r["n"]) for r in got) == [(1, "admitted", 4), (1, "refused", 8), (2, "admitted", 4), (2, "refused", 8)]
+
+
+def test_a_closed_ledger_begins_anew(spark, tmp_path):
+    from lexweave.streaming.ingest import admission_stream
+
+    rows = [(1, 1, "1500.00"), (1, 2, "200.00"), (1, 3, None), (1, 4, "1500.00")]
+    df = spark.createDataFrame(rows, "episode_key long, attempt_id long, usd string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = admission_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert [r["outcome"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("attempt_id").collect()] == ["admitted", "refused", "closed", "admitted"]
+
+
+def test_absent_null_keys_are_added_once(spark):
+    fresh = spark.createDataFrame([(None, "x"), (1, "y")], "k long, v string")
+    new = insert_absent(fresh.limit(0), fresh, ["k"])
+    assert new.count() == 2 and insert_absent(new, fresh, ["k"]).count() == 0
+
+
+def test_containment_within_the_reach(spark):
+    words = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    df = spark.createDataFrame([(1, words, 0), (2, words, 25), (3, words, 60), (4, words, 60)], "id long, text string, at long")
+    got = {(r["id"], r["earlier_id"]) for r in containment_pairs(df, reach=30).collect()}
+    assert got == {(2, 1)}
+    assert {(r["id"], r["earlier_id"]) for r in containment_pairs(df, reach=35).collect()} == {(2, 1), (3, 2), (4, 2)}
