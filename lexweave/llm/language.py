@@ -18,6 +18,8 @@ from .common import bounded_batches, slices
 BUCKETS, WIDTH, LENGTHS = 1 << 15, 16, (3, 4)
 #: The model is fitted on so many labelled rows of each language, and so many of all, at most (expected), drawn by a hash of the id; whole texts.
 TRAIN_ROWS_PER_LANG, TRAIN_ROWS_MOST = 600, 120_000
+#: Counts of so many languages are broadcast.
+LANGS_BROADCAST = 10_000
 EPOCHS, STEPS_LEAST, RATE, SEED = 6, 12_000, 40.0, 5
 #: Rejection: each of so many languages is left out once of a model of fewer steps, which sees its texts as foreign ones. The threshold
 #: rejects this share of them, but is no higher than this part of what the worst rightly predicted calibration row scores.
@@ -205,8 +207,14 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return train([])
     each = min(TRAIN_ROWS_PER_LANG, TRAIN_ROWS_MOST / langs)
     u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    sample = rows.join(counts, "lang").filter(u * F.col("n") < each).select("text", "lang").collect()
-    return train([(r[0], r[1]) for r in sample])
+    drawn = u * F.col("n") < each
+    if langs <= LANGS_BROADCAST:
+        sample = rows.join(F.broadcast(counts), "lang").filter(drawn)
+    else:
+        # the hashes drawn are as few as the sample, so texts needn't be dealt by language
+        hashes = rows.select("lang", "h").join(counts, "lang").filter(drawn).select("lang", "h")
+        sample = rows.join(F.broadcast(hashes), ["lang", "h"], "left_semi")
+    return train([(r[0], r[1]) for r in sample.select("text", "lang").collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -88,6 +88,14 @@ def test_scripts_are_told_apart_from_one_learned_language():
     assert [g[2] for g in model.predict(["the cat is here", FOREIGN[1], FOREIGN[2]])] == [False, True, True]
 
 
+def test_both_ways_to_draw_the_sample_agree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(language, "train", lambda rows: sorted(rows))
+    few = language.fit_language_model(docs)
+    monkeypatch.setattr(language, "LANGS_BROADCAST", 0)
+    assert few == language.fit_language_model(docs) and len(few) > 500
+
+
 def test_every_language_is_learned():
     rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + k % 7)} word{chr(97 + k // 26)}{chr(97 + k % 26)} " * 4, f"l{k:03}") for k in range(250) for _ in range(2)]
     assert len(language.train(rows).langs) == 250
