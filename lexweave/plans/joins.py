@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.similarity import WORDS_LEAST, duplicates, normalised_words
-from .dialect import Dialect, Duck, sql
+from .dialect import Dialect, sql
 from .registry import query
 
 
@@ -106,11 +106,13 @@ def locate_by_neighbours(q: Dialect) -> str:
         SELECT user_id, event_id, CASE WHEN lo IS NULL OR hi IS NULL THEN NULL WHEN lo_pos = hi_pos THEN lo ELSE lo + {q.div("(hi - lo) * (pos - lo_pos)", "hi_pos - lo_pos")} END AS located, mapped IS NOT NULL AS exact FROM f"""
 
 
-def _grams(q: Dialect, source: str, n: int) -> str:
-    """Distinct word n-grams of texts: (doc_id, gram), with the document's number of them."""
-    w = q._("transform(filter(split(regexp_replace(lower(text), \"['’]\", ''), '[^a-zà-ÿß]+'), w -> w <> ''), w -> w)", "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[''’]', '', 'g'), '[^a-zà-ÿß]+'), lambda w: w <> '')")
-    grams = q.each(q.range(1, f"{q.size('ws')} - {n - 1}"), "i", q.join(q.slice("ws", "i", n)))
-    return f"words AS (SELECT doc_id, {w} AS ws FROM {source}), grams AS (SELECT doc_id, gram FROM {q.unnest('doc_id', 'words', q._(f'array_distinct({grams})', f'list_distinct({grams})'), 'gram')} g), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id)"
+def _grams(source: str, n: int) -> str:
+    """In DuckDB: distinct word n-grams of texts (doc_id, gram), and the documents' numbers of them."""
+    ahead = f"OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[''’]', '', 'g'), '[^a-zà-ÿß]+'), lambda w: w <> '') AS ws FROM {source}),
+        each_word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words),
+        grams AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, string_agg(w, ' ') {ahead} AS gram, count(*) {ahead} AS c FROM each_word) t WHERE c = {n}),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id)"""
 
 
 #: A document is published every hour: so far back, in hours, originals are looked for.
@@ -123,8 +125,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containment_check() -> str:
-    q = Duck()
-    return f"""WITH {_grams(q, f"(SELECT doc_id, text FROM {q.t('documents')} WHERE n_chars > 0)", 4)}, shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1), kept AS (SELECT g.doc_id, g.gram FROM grams g JOIN shared s ON s.gram = g.gram),
+    return f"""WITH {_grams("(SELECT doc_id, text FROM documents WHERE n_chars > 0)", 4)}, shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1), kept AS (SELECT g.doc_id, g.gram FROM grams g JOIN shared s ON s.gram = g.gram),
         pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS earlier_id, count(*) AS common FROM kept a JOIN kept b ON b.gram = a.gram AND b.doc_id < a.doc_id AND b.doc_id >= a.doc_id - {_REACH} GROUP BY a.doc_id, b.doc_id),
         found AS (SELECT p.doc_id, p.earlier_id, p.common, s.n AS grams, CAST(p.common AS DOUBLE) / s.n AS containment, CAST(len(w.ws) AS BIGINT) AS words FROM pairs p JOIN sizes s ON s.doc_id = p.doc_id JOIN words w ON w.doc_id = p.doc_id WHERE 2 * p.common >= s.n)
         SELECT doc_id, earlier_id, common, grams, containment, words, words >= 1000 AND row_number() OVER (PARTITION BY doc_id ORDER BY common DESC, earlier_id) = 1 AS is_duplicate FROM found"""
@@ -139,7 +140,7 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flt_04",
-    f"""WITH found AS ({containment_check()}), {_grams(Duck(), "documents", 4).partition(", grams AS")[0]}
+    f"""WITH found AS ({containment_check()}), {_grams("documents", 4).partition(",\n        each_word AS")[0]}
         SELECT w.doc_id, CAST(coalesce(len(w.ws), 0) AS BIGINT) AS n, coalesce(len(w.ws), 0) >= 1000 AS checkable, count(CASE WHEN f.is_duplicate THEN 1 END) > 0 AS duplicate FROM words w LEFT JOIN found f ON f.doc_id = w.doc_id GROUP BY w.doc_id, w.ws""",
 )
 def duplicate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,11 +34,16 @@ def adjacent_repetitions(q: Dialect) -> str:
 
 @sql("wn_02")
 def context_frames(q: Dialect) -> str:
-    """The words around every place: two to each side, and a digest of five, ten and thirty to each side, cut at the text's ends."""
-    frame = lambda r: q.join(q.slice("v", f"greatest(1, i - {r})", f"i + {r} - greatest(1, i - {r}) + 1"))
-    digest = q.sha(" || '#' || ".join(map(frame, (5, 10, 30))))
-    frames = q.bind("ws", "v", q.each(q.range(1, q.size("v")), "i", f"{frame(2)} || '#' || {digest}"))
-    return f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, f AS frame FROM {q.unnest('doc_id', f'(SELECT doc_id, {q.words("text")} AS ws FROM {q.t("documents")}) z', frames, 'f')} x"
+    """The words around every place: two to each side, and a digest of five, ten and thirty to each side, cut at the text's ends. In Spark
+    slices inside the row, in DuckDB frames of a window."""
+    if q.spark:
+        frame = lambda r: q.join(q.slice("v", f"greatest(1, i - {r})", f"i + {r} - greatest(1, i - {r}) + 1"))
+        digest = q.sha(" || '#' || ".join(map(frame, (5, 10, 30))))
+        frames = q.bind("ws", "v", q.each(q.range(1, q.size("v")), "i", f"{frame(2)} || '#' || {digest}"))
+        return f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, f AS frame FROM {q.unnest('doc_id', f'(SELECT doc_id, {q.words("text")} AS ws FROM {q.t("documents")}) z', frames, 'f')} x"
+    around = lambda r: f"string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    return f"""WITH {_docs(q)}, f AS (SELECT doc_id, pos, {around(2)} AS a, {around(5)} AS b, {around(10)} AS c, {around(30)} AS d FROM {q.unnest("doc_id", "d", "ws", "w")} x)
+        SELECT doc_id, CAST(pos AS BIGINT) AS pos, a || '#' || sha256(b || '#' || c || '#' || d) AS frame FROM f"""
 
 
 @sql("wn_03")
@@ -75,10 +80,15 @@ def islands(q: Dialect) -> str:
 
 @sql("wn_10")
 def repeat_runs(q: Dialect) -> str:
-    """Whether a phrase of two to eight words stands three times in a row: a stretch of twice its length equals the one that begins a
-    phrase later."""
-    again = lambda n: f"{q.size(q.keep(q.range(1, f'{q.size("v")} - {3 * n - 1}'), 'i', f'{q.slice("v", "i", 2 * n)} = {q.slice("v", f"i + {n}", 2 * n)}'))} > 0"
-    return f"WITH {_docs(q)} SELECT doc_id, {q.bind('ws', 'v', ' OR '.join(map(again, range(2, 9))))} AS repeats FROM d"
+    """Whether a phrase of two to eight words stands three times in a row: so many words in a row, twice its length, equal the one that
+    stands its length before. In Spark stretches inside the row are compared, in DuckDB the words are counted over a window."""
+    if q.spark:
+        again = lambda n: f"{q.size(q.keep(q.range(1, f'{q.size("v")} - {3 * n - 1}'), 'i', f'{q.slice("v", "i", 2 * n)} = {q.slice("v", f"i + {n}", 2 * n)}'))} > 0"
+        return f"WITH {_docs(q)} SELECT doc_id, {q.bind('ws', 'v', ' OR '.join(map(again, range(2, 9))))} AS repeats FROM d"
+    same = ", ".join(f"w = lag(w, {n}) OVER (PARTITION BY doc_id ORDER BY pos) AS e{n}" for n in range(2, 9))
+    runs = " OR ".join(f"count(CASE WHEN e{n} THEN 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {2 * n - 1} PRECEDING AND CURRENT ROW) = {2 * n}" for n in range(2, 9))
+    return f"""WITH {_docs(q)}, e AS (SELECT doc_id, pos, {same} FROM {q.unnest("doc_id", "d", "ws", "w")} x), r AS (SELECT doc_id, {runs} AS hit FROM e)
+        SELECT d.doc_id, count(CASE WHEN r.hit THEN 1 END) > 0 AS repeats FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 @sql("wn_11")
