@@ -99,3 +99,28 @@ def test_containment_within_the_reach(spark):
     got = {(r["id"], r["earlier_id"]) for r in containment_pairs(df, reach=30).collect()}
     assert got == {(2, 1)}
     assert {(r["id"], r["earlier_id"]) for r in containment_pairs(df, reach=35).collect()} == {(2, 1), (3, 2), (4, 2)}
+
+
+def test_staged_files_are_taken_once(spark, tmp_path):
+    import json
+
+    from lexweave.streaming.staging import take_staged
+
+    staging, target, index = (f"file://{tmp_path}/{x}" for x in ("staging", "texts", "index"))
+
+    def stage(name, key, text):
+        (tmp_path / "staging").mkdir(exist_ok=True)
+        (tmp_path / "staging" / f"{name}.json").write_text(json.dumps({"episode_key": key, "text": text}))
+
+    stage("a", "a", "one")
+    stage("b", "other", "two")
+    stage("c", "c", "")
+    refused = take_staged(spark, staging, target, index).collect()
+    assert sorted(r["episode_key"] for r in refused) == ["c", "other"]
+    assert sorted(p.name for p in (tmp_path / "staging").glob("*.json")) == ["b.json", "c.json"]
+    stage("a", "a", "another text for the same key")
+    stage("d", "d", "four")
+    take_staged(spark, staging, target, index)
+    assert {p.name: p.read_text() for p in (tmp_path / "texts").iterdir()} == {"a.txt": "one", "d.txt": "four"}
+    assert sorted((r["episode_key"], r["bytes"]) for r in spark.read.parquet(index).collect()) == [("a", 3), ("d", 4)]
+    assert sorted(p.name for p in (tmp_path / "staging").glob("*.json")) == ["b.json", "c.json"]
