@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import tempfile
 from collections.abc import Iterator
 from functools import cached_property
@@ -189,7 +190,7 @@ class WordEncoder:
         ids |= zip(unseen, self.merges.ids_of_all(unseen), strict=True)
         for u, ps in pieces.items():
             all_ids = [i for p in ps for i in ids[p]]
-            out[u] = np.array(all_ids, "<u4").tobytes(), " ".join(map(self.name.__getitem__, all_ids))
+            out[u] = struct.pack(f"<{len(all_ids)}I", *all_ids), " ".join(map(self.name.__getitem__, all_ids))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -209,9 +210,9 @@ class WordEncoder:
             if o:
                 out.append(self._library(t))
                 continue
-            found = [table[u] for u in us]
+            ids, names = zip(*map(table.__getitem__, us), strict=True) if us else ((), ())
             # a unit without ids, which a vocabulary that lacks some byte can give, adds nothing to the decoded text
-            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])))
+            out.append((b"".join(ids), " ".join(filter(None, names))))
         return out
 
 
