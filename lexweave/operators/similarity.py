@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_folder
+
 #: Words of an n-gram, the least share, the fewest words of a duplicate, and how far back, in days, originals are looked for.
 GRAM, LEAST, WORDS_LEAST, DAYS = 4, 0.5, 1000, 30
 
@@ -46,6 +48,10 @@ def containment_pairs(docs: DataFrame, n: int = GRAM, least: float = LEAST, reac
     each = sets.select("id", "at", "words", "g", F.explode("grams").alias("gram"))
     by_gram = Window.partitionBy("gram")
     shared = each.withColumn("in_docs", F.count(F.lit(1)).over(by_gram)).filter("in_docs > 1")
+    # few rows are left; they are written, as three branches read them
+    path = fresh_folder(docs.sparkSession, "shared-grams")
+    shared.write.parquet(path)
+    shared = docs.sparkSession.read.schema(shared.schema).parquet(path)
     left = shared.groupBy("id").agg(F.first("at").alias("at"), F.first("words").alias("words"), F.first("g").alias("g"), F.sort_array(F.collect_list(F.struct("in_docs", "gram"))).alias("s"))
     need = F.ceil(F.lit(least) * F.col("g")).cast("int")
     asking = left.withColumn("need", need).filter(F.size("s") >= F.col("need"))

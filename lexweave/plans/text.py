@@ -130,12 +130,13 @@ def tag_transition(q: Dialect) -> str:
 @sql("st_04")
 def ordered_distinct(q: Dialect) -> str:
     """Distinct words without regard to case, in the order and form of their first occurrence. In Spark inside the row: distinct forms
-    keep their order, and of those that differ in case the first stays."""
+    are sorted by key and place, the first of each key stays, and they are put back into order."""
     parts = q.keep(q.split(q.rr("text", "[^A-Za-z]+", " "), " "), "w", "w <> ''")
     if q.spark:
-        first = "filter(f, (w, i) -> array_position(k, lower(w)) = i + 1)"
-        kept = f"element_at(transform(array(array_distinct(ws)), f -> element_at(transform(array(transform(f, w -> lower(w))), k -> {first}), 1)), 1)"
-        return f"SELECT doc_id, CAST(size(a) AS BIGINT) AS forms, array_join(a, ' ') AS words FROM (SELECT doc_id, {kept} AS a FROM (SELECT doc_id, {parts} AS ws FROM {q.t('documents')}) z) y WHERE size(a) > 0"
+        forms = "sort_array(transform(array_distinct(ws), (w, i) -> struct(lower(w) AS k, i, w)))"
+        first = "filter(s, (x, j) -> j = 0 OR x.k <> get(s, j - 1).k)"
+        kept = f"element_at(transform(array({forms}), s -> transform(sort_array(transform({first}, x -> struct(x.i, x.w))), y -> y.w)), 1)"
+        return f"SELECT doc_id, CAST(size(a) AS BIGINT) AS forms, array_join(a, ' ') AS words FROM (SELECT doc_id, {kept} AS a FROM (SELECT doc_id, {parts} AS ws FROM {q.t('documents')} WHERE {q.rx("text", "[A-Za-z]")}) z) y"
     return f"""WITH p AS (SELECT doc_id, lower(w) AS k, {q.argmin("w", ["pos"])} AS w, min(pos) AS pos FROM {q.unnest("doc_id", f"(SELECT doc_id, {parts} AS ws FROM {q.t('documents')}) z", "ws", "w")} x GROUP BY doc_id, lower(w))
         SELECT doc_id, count(*) AS forms, string_agg(w, ' ' ORDER BY pos) AS words FROM p GROUP BY doc_id"""
 
