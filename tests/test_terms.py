@@ -47,6 +47,26 @@ def test_best_terms_by_brute_force():
     assert found > 30
 
 
+def test_terms_of_both_sides_by_brute_force():
+    found = 0
+    for known, a, b in cases():
+        b = a[:] if R.random() < 0.3 else b + a[R.randint(0, len(a)) :]
+        ranked = sorted((-min(x, y), t) for t in known.terms for x, y in [(best(a, t), best(b, t))] if min(x, y) >= terms.NEAR)
+        assert known.both(a, b) == [t for _, t in ranked[: terms.TOP]]
+        found += len(ranked)
+    assert found > 10
+
+
+def test_sides_are_searched_once_and_only_if_both_speak():
+    known = terms.Terms({letters(6, 9) for _ in range(500)})
+    calls, similar = [], known.similar
+    known.similar = lambda focus: calls.append(focus) or similar(focus)
+    said = [known.terms[5], known.terms[9]]
+    assert known.both(said, []) == known.both([], said) == [] and not calls
+    assert set(said) <= set(known.both(said, said[:], 500)) and calls == [said]
+    assert known.both(["zzzz"], said) == [] and calls == [said, ["zzzz"]]
+
+
 def test_short_texts_have_the_matchers_ratio():
     for _ in range(3000):
         a = letters(0, 14, R.choice(("ab", "abcd", "aäbß éx")))
