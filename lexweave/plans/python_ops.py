@@ -371,7 +371,7 @@ def resolver_focus(r, terms: Terms) -> Iterable[tuple]:
 def chosen_reading(r, terms: Terms) -> Iterable[tuple]:
     votes = [("apple", "whisper")[(r.id + r.part * k) % 2] for k in (1, 2, 3)]
     reason = materiality.verdict(r.apple, r.whisper, r.before, r.after)[1]
-    return [(r.episode_key, r.id, r.part, *materiality.choose(r.apple, r.whisper, reason, r.third, terms.terms, votes))]
+    return [(r.episode_key, r.id, r.part, *materiality.choose(r.apple, r.whisper, reason, r.third, terms.spellings, votes))]
 
 
 @_with_terms(
