@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that a Python worker gets: what bounds its memory.
 BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
+#: What this Python worker has loaded for the operator it works for.
+_LOADED: dict[Hashable, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +54,41 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def loaded(key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()``, which a worker keeps for later tasks with this key; what was loaded with another key goes first."""
+    _keep_only(key)
+    if key not in _LOADED:
+        _LOADED[key] = make()
+        _give_back()
+    return _LOADED[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: Hashable = None):
+    """``run`` for mapInArrow. Workers outlive a task and count as the executor's memory also while only its JVM works: so what was loaded
+    with another key goes before the first batch, and what the task freed goes back to the system after the last."""
+
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(key)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return run_lean
+
+
+def _keep_only(key: Hashable) -> None:
+    for other in [k for k in _LOADED if k != key]:
+        del _LOADED[other]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    # glibc keeps what numpy and Python free; other C libraries have no such function
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A batch's texts; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, lean, slices
 
 #: Hash buckets, embedding width, subword lengths in bytes.
 BUCKETS, WIDTH, LENGTHS = 1 << 15, 16, (3, 4)
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op7_subword_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, lean, materialise
 from .components import components
 from .simhash import bits_of, near_links
 
@@ -91,7 +91,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             got, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(t or "") for t in batch.column(0).to_pylist())]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_EVERY)) == 0).select("text").mapInArrow(run, "gram long, n long")
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_EVERY)) == 0).select("text").mapInArrow(lean(run), "gram long, n long")
     top = sample.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "gram").limit(COMMON_MOST).toArrow()
     grams, counts = top.column("gram").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(grams)
@@ -147,7 +147,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             told.update(fresh)
             yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), _lists(list(fresh.values()))], names=["node", "grams"])
 
-    prints = materialise(rows.mapInArrow(name, f"id {id_type}, h long, node long, n long, fp long, prefix array<long>, bits array<long>"), "prefixes", GROUP_BYTES)
+    prints = materialise(rows.mapInArrow(lean(name), f"id {id_type}, h long, node long, n long, fp long, prefix array<long>, bits array<long>"), "prefixes", GROUP_BYTES)
     # texts of one set may repeat shingles differently; one of their fingerprints stands for the node
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     least = prints.select("node", "id", "n", "fp", "bits", first.alias("first")).groupBy("node")
@@ -169,7 +169,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         ids = materialise(nodes.join(asked, "node").select("least").distinct(), "asked")
         ids = F.broadcast(ids) if ids.count() <= ASKED_MOST else ids
-        sets = materialise(rows.join(ids, rows["id"].eqNullSafe(ids["least"]), "left_semi").select("text").mapInArrow(whole, "node long, grams array<long>"), "sets", GROUP_BYTES)
+        sets = materialise(rows.join(ids, rows["id"].eqNullSafe(ids["least"]), "left_semi").select("text").mapInArrow(lean(whole), "node long, grams array<long>"), "sets", GROUP_BYTES)
         a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in "uv")
         both = pairs.join(a, "u").join(b, "v")
         near = F.size(F.array_intersect("of_u", "of_v")) * (NUM + DEN) >= (F.size("of_u") + F.size("of_v")) * NUM

@@ -12,19 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteLevelEncoder
-from .common import bounded_batches, materialise
+from .common import bounded_batches, lean, loaded, materialise
 
 #: Tokens of a sequence, windows open at once in a partition, partitions whose leftovers one task merges, and from how much room on a
 #: window that is emitted is filled by cutting the piece that fits nowhere.
 SEQUENCE, OPEN, FAN_IN, CUT_LEAST = 1024, 64, 8, 32
 _PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, win long, ids binary"
-_ENCODERS: dict[str, ByteLevelEncoder] = {}
 
 
 def _encoder(path: str) -> ByteLevelEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteLevelEncoder(path)
-    return _ENCODERS[path]
+    return loaded(("bytes", path), lambda: ByteLevelEncoder(path))
 
 
 class Packer:
@@ -117,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: int = SEQUE
         left = [r for _, win in packer.room for r in rows_of(packer.pieces[win], None, part, win, True)]
         yield batch_of(left, arrow)
 
-    placed = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
+    placed = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, ("bytes", tokenizer)), schema), "pieces")
     done, left = placed.filter(F.col("sequence_id").isNotNull()), placed.filter(F.col("sequence_id").isNull())
     found, level = [done], 0
     while parts := left.agg(F.max("part")).first()[0]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import bounded_batches, slices
+from .common import bounded_batches, lean, slices
 from .pii_base import KINDS, base_spans
 
 Span = tuple[str, int, int]
@@ -132,7 +132,7 @@ def find_pii(docs: DataFrame, model: crf.Crf | None = None, text_col: str = "tex
             new = [pa.array([rows(b) for b, _ in got], item), pa.array([rows(s) for _, s in got], item), pa.array(marked, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _shown(column: str):
