@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import differences as diffs
 from ..functions import ledger, materiality, notes, numbers, rules, sequences, tokens
-from ..functions.terms import REGISTRY_MOST, Terms
+from ..functions.terms import Registry, Terms
 from .registry import query
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +56,10 @@ def labels_on_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The registry: all longer words of the benchmark's texts. One term above the largest registry that is searched tells that it is
-    too large, in which case nothing is retrieved."""
+    """The registry: all longer words of the benchmark's texts, however many."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     w = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 6).distinct()
-    return sorted(r["w"] for r in w.limit(REGISTRY_MOST + 1).collect())
+    return sorted(r["w"] for r in w.collect())
 
 
 def _in_batches(source: DataFrame, schema: str, made: Callable[[], Callable[[tuple], Iterable[tuple]]]) -> DataFrame:
@@ -316,15 +315,15 @@ def note_checks(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, len(kept), ",".join(sorted(reasons)), rejected)]
 
 
-def _with_terms(name: str, schema: str, source: Source) -> Callable:
-    """Like ``rows``, with the registry, whose size is bounded, as a second argument."""
+def _with_terms(name: str, schema: str, source: Source, kind: type[Registry] = Terms) -> Callable:
+    """Like ``rows``, with the whole registry as a second argument: to search, or the plain list of its terms."""
 
     def keep(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             known = benchmark_terms(spark, sf_dir)
 
             def made() -> Callable:
-                terms = Terms(known)
+                terms = kind(known)
                 return lambda row: f(row, terms)
 
             return _in_batches(source(spark, sf_dir), schema, made)
@@ -367,8 +366,8 @@ def resolver_focus(r, terms: Terms) -> Iterable[tuple]:
     return [(r.episode_key, r.id, r.part, "partial", word) if word else (r.episode_key, r.id, r.part, "full", r.apple)]
 
 
-@_with_terms("al_12", f"{_KEY}, part long, source string, step string", spans)
-def chosen_reading(r, terms: Terms) -> Iterable[tuple]:
+@_with_terms("al_12", f"{_KEY}, part long, source string, step string", spans, Registry)
+def chosen_reading(r, terms: Registry) -> Iterable[tuple]:
     votes = [("apple", "whisper")[(r.id + r.part * k) % 2] for k in (1, 2, 3)]
     reason = materiality.verdict(r.apple, r.whisper, r.before, r.after)[1]
     return [(r.episode_key, r.id, r.part, *materiality.choose(r.apple, r.whisper, reason, r.third, terms.spellings, votes))]
