@@ -6,6 +6,7 @@ import re
 from collections import deque, namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -315,15 +316,27 @@ def note_checks(r) -> Iterable[tuple]:
     return [(r.episode_key, r.id, len(kept), ",".join(sorted(reasons)), rejected)]
 
 
+@lru_cache(maxsize=1)
+def _registry(kind: type[Registry], known: tuple[str, ...]) -> Registry:
+    """A registry, which a worker keeps for its later tasks."""
+    return kind(known)
+
+
+@lru_cache(maxsize=1)
+def _categories(terms: Terms) -> dict[str, str]:
+    """A term's category follows from its first letter, as the analog's registry has none."""
+    return {t: diffs.GLOSSARY_CATEGORIES[ord(t[0]) % len(diffs.GLOSSARY_CATEGORIES)] for t in terms.terms}
+
+
 def _with_terms(name: str, schema: str, source: Source, kind: type[Registry] = Terms) -> Callable:
     """Like ``rows``, with the whole registry as a second argument: to search, or the plain list of its terms."""
 
     def keep(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            known = benchmark_terms(spark, sf_dir)
+            known = tuple(benchmark_terms(spark, sf_dir))
 
             def made() -> Callable:
-                terms = kind(known)
+                terms = _registry(kind, known)
                 return lambda row: f(row, terms)
 
             return _in_batches(source(spark, sf_dir), schema, made)
@@ -378,11 +391,10 @@ def chosen_reading(r, terms: Registry) -> Iterable[tuple]:
     "domain_terms string, citation_signal boolean, source_only string, risk_reasons string, repetition boolean", spans,
 )
 def built_differences(r, terms: Terms) -> Iterable[tuple]:
-    """All differences; a term's category follows from its first letter, as the analog's registry has none."""
-    category_of = {t: diffs.GLOSSARY_CATEGORIES[ord(t[0]) % len(diffs.GLOSSARY_CATEGORIES)] for t in terms.terms}
+    """All differences."""
     return [
         (r.episode_key, r.id, r.part, d.id, d.apple_start, d.apple_end, d.whisper_start, d.whisper_end, d.kind, d.severity, d.category, d.apple_text, d.whisper_text, d.similarity, ",".join(d.domain_terms), d.citation_signal, d.source_only, ",".join(d.risk_reasons), d.repetition)
-        for d in diffs.differences(r.apple, r.whisper, terms, category_of)
+        for d in diffs.differences(r.apple, r.whisper, terms, _categories(terms))
     ]
 
 
