@@ -90,3 +90,12 @@ def test_every_letter_pattern_is_searched_alike(monkeypatch):
         found.append([known.similar(s) for s in said])
         assert kept > 900 or len(known._near) <= 300
     assert found[0] == found[1] == found[2] == found[3] and sum(map(len, found[0])) > 90
+
+
+def test_terms_of_both_sides(got, sides):
+    have, found = {h[:3]: h[3] for h in got("tk_03")}, 0
+    for row, scores in sides(False):
+        ranked = sorted((-min(x, y), t) for t, x, y in scores if min(x, y) >= terms.NEAR)[:3]
+        assert have.pop(row) == ",".join(t for _, t in ranked)
+        found += len(ranked)
+    assert not have and found >= 5
